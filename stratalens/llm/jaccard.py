@@ -9,9 +9,11 @@ share a token among the first n - ceil(t n) + 1 of each, under any one order of
 2. ascending hash and 3. descending hash: a candidate pair must also share a token of its prefixes under both, which are
    slices of the sorted sets, before the exact intersection is taken.
 
-All pairs of a large group are never made. Every token first pairs its documents with two leaders; the verified links
-give components, and then each token pairs only documents of different components: the members of its largest component
-are not paired with each other, as their links cannot change the result. What is left out is a link inside a component.
+A pair's prefixes are as short as its two sizes allow. All pairs of a large group are never made. Every token first
+pairs its documents with two leaders; the verified links give components. In each round after that, a token pairs the
+documents outside its largest component with one random member of it, until few are left. Last, each token pairs all
+documents of different components: the members of its largest component are not paired with each other, as their links
+cannot change the result. What is left out is a link inside a component.
 
 Equal texts form one class, found by a 64-bit hash; copies are set aside before shingling. Hash collisions (2^-64 a
 pair) are the only source of error.
@@ -38,6 +40,9 @@ THRESHOLD = 75
 #: Class 0 of order 1: hashes below this.
 CLASS_0 = -(1 << 63) + 3 * (1 << 61)
 LEADERS = 2
+#: Most rounds of one more leader for what is left over, which go on while a left-over row has more than FEW partners.
+ROUNDS = 6
+FEW = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -85,18 +90,19 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, tok, spare: the tokens that order 1 can put in a prefix, and how many of them it leaves out."""
+    """k, tok, n, e: the e tokens that order 1 can put in a prefix, of n."""
     for batch in small_slices(batches):
-        toks, ks, spare = [], [], []
+        toks, ks, ns, es = [], [], [], []
         for k, text in zip(batch.column("k").to_pylist(), texts(batch), strict=True):
             s = shingles(text)
             p = prefix_length(len(s))
-            s = s[: max(p, int(np.searchsorted(s, CLASS_0)))]
+            n, s = len(s), s[: max(p, int(np.searchsorted(s, CLASS_0)))]
             toks.append(s)
             ks.append(np.full(len(s), k, np.int64))
-            spare.append(np.full(len(s), len(s) - p, np.int32))
+            ns.append(np.full(len(s), n, np.int32))
+            es.append(np.full(len(s), len(s), np.int32))
         join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-        yield pa.RecordBatch.from_arrays([join(ks, np.int64), join(toks, np.int64), join(spare, np.int32)], names=["k", "tok", "spare"])
+        yield pa.RecordBatch.from_arrays([join(ks, np.int64), join(toks, np.int64), join(ns, np.int32), join(es, np.int32)], names=["k", "tok", "n", "e"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +137,19 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * F.col("i") >= THRESHOLD * (na + nb - F.col("i"))).select("a", "b")
 
 
+def _in_prefixes() -> Column:
+    """True if the token stands in the prefixes that sizes of x and y ask for: n - needed overlap + 1."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    need = F.ceil((nx + ny) * THRESHOLD / (100 + THRESHOLD))
+    return (F.col("x.r") <= nx - need + 1) & (F.col("y.r") <= ny - need + 1) & (100 * F.least(nx, ny) >= THRESHOLD * F.greatest(nx, ny))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the rows (x, y) that may be linked."""
+    rows = rows.filter((F.col("x.k") != F.col("y.k")) & _in_prefixes())
+    return rows.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): the smallest node that links reach. Alternating large and small stars."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -174,15 +193,16 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and k (the text's class) of every row."""
     ship(documents.sparkSession)
     classes = materialize(documents.filter("text is not null").select("doc_id", F.xxhash64("text").alias("k")), "classes")
-    tokens = _one_of_each(documents, classes).mapInArrow(_counted_tokens, "k long, tok long, spare int")
+    tokens = _one_of_each(documents, classes).mapInArrow(_counted_tokens, "k long, tok long, n int, e int")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     # order 1 of each set's shared tokens; the tokens of class 0 stand first, rarest first, the others by hash
     late = F.col("tok") >= CLASS_0
     place = Window.partitionBy("k").orderBy(late, F.when(~late, F.col("df")), "tok")
     mine = materialize(tokens.join(shared, "tok"), "shared")
+    # r: the place in order 1, after the e - m tokens that no other text has
     prefix = materialize(
-        mine.distinct().withColumn("r", F.row_number().over(place)).withColumn("m", F.count("*").over(Window.partitionBy("k")))
-        .filter("r <= m - spare").select("tok", "k"), "prefix")
+        mine.distinct().withColumn("r", (F.row_number().over(place) + F.col("e") - F.count("*").over(Window.partitionBy("k"))).cast("int"))
+        .filter(F.col("r") <= _prefix(F.col("n"))).select("tok", "k", "n", "r"), "prefix")
     release(mine)
     # the sets of the classes that are left, and the sizes of all
     least = classes.groupBy("k").agg(F.min("doc_id").alias("_d"))
@@ -194,22 +214,33 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     sets = every.filter(F.size("s") > 0).dropDuplicates(["k"])
 
     # leaders: the same few random members for every token of a group
-    ranked = [F.min(F.struct(F.xxhash64(F.lit(i), "k").alias("h"), "k")).alias(f"l{i}") for i in range(LEADERS)]
-    led = prefix.join(prefix.groupBy("tok").agg(*ranked), "tok").select(F.col("k").alias("x"), F.explode(F.array(*[F.col(f"l{i}.k") for i in range(LEADERS)])).alias("y"))
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    first = materialize(_linked(led.filter("x <> y").select(*ordered("x", "y")).distinct(), sets), "links")
-    root = components(first)
-
-    # what the leaders did not join: pairs of different components that share a token
-    placed = materialize(prefix.join(root, F.col("k") == F.col("node"), "left").select("tok", "k", F.coalesce("root", "k").alias("c")), "placed")
-    sizes = placed.groupBy("tok", "c").agg(F.count("*").alias("m"))
-    major = sizes.groupBy("tok").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).filter("cs > 1").select("tok", F.col("top.c").alias("major"))
-    open_ = materialize(placed.join(major, "tok"), "open")
-    minor = open_.filter("c <> major").select("tok", F.col("k").alias("x"), F.col("c").alias("cx"))
-    other = open_.select("tok", F.col("k").alias("y"), F.col("c").alias("cy"), "major")
-    cross = minor.join(other, "tok").filter("cx <> cy and (cy = major or x < y)").select(*ordered("x", "y")).distinct()
-    second = _linked(cross, sets)
-    root = components(first.unionByName(second))
+    row = F.struct("k", "n", "r")
+    ranked = [F.min(F.struct(F.xxhash64(F.lit(i), "k").alias("h"), row.alias("y"))).alias(f"l{i}") for i in range(LEADERS)]
+    led = prefix.join(prefix.groupBy("tok").agg(*ranked), "tok").select(row.alias("x"), F.explode(F.array(*[F.col(f"l{i}.y") for i in range(LEADERS)])).alias("y"))
+    links = materialize(_linked(_pairs(led), sets), "links")
+    root = components(links)
+    for i in range(ROUNDS + 1):
+        placed = prefix.join(root, F.col("k") == F.col("node"), "left").select("tok", row.alias("x"), F.coalesce("root", "k").alias("c"))
+        sizes = placed.groupBy("tok", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(LEADERS + i), "x.k").alias("h"), "x")).alias("one"))
+        major = sizes.groupBy("tok").agg(F.max(F.struct("m", "c", "one")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("cs")).filter("cs > 1")
+        open_ = materialize(placed.join(major.select("tok", F.col("top.c").alias("major"), F.col("top.one.x").alias("one"), "all"), "tok"), "open")
+        minor = open_.filter("c <> major")
+        pairs, rows = minor.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count("*")).first()
+        if not rows:
+            break
+        if i < ROUNDS and pairs > FEW * rows:
+            tried = _pairs(minor.select("x", F.col("one").alias("y")))
+            more = materialize(_linked(tried, sets), "links")
+        else:
+            # what is left: pairs of different components that share a token
+            other = open_.select("tok", F.col("x").alias("y"), F.col("c").alias("cy"))
+            cross = minor.join(other, "tok").filter((F.col("c") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.k") < F.col("y.k"))) & _in_prefixes())
+            more = materialize(_linked(_pairs(cross), sets), "links")
+        links = links.unionByName(more)
+        root = components(links)
+        release(open_)
+        if not (i < ROUNDS and pairs > FEW * rows):
+            break
 
     named = classes.groupBy("k").agg(F.min("doc_id").alias("d")).join(root, F.col("k") == F.col("node"), "left").select("k", "d", F.coalesce("root", "k").alias("c"))
     named = materialize(named, "named")

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._shared import hash_bucket, materialize, ship, small_slices, texts
 
 THRESHOLD = 0.3
-LABELLED_ROWS = 100_000
-CANDIDATES = 30_000
+LABELLED_ROWS = 50_000
+CANDIDATES = 10_000
 FEATURES = 4_096
 #: Least G statistic of a feature.
 MIN_GAIN = 24.0
@@ -206,18 +206,19 @@ class ToxicModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def _fit(rows: list[tuple[list[int], int]], n: int, steps: int = 400, l2: float = 0.05) -> tuple[float, np.ndarray]:
+def _fit(rows: list[tuple[list[int], int, int]], n: int, steps: int = 400, l2: float = 0.05) -> tuple[float, np.ndarray]:
     """Logistic regression over presences, by gradient steps with momentum and one step size for each weight."""
-    own = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    idx = np.concatenate([np.array(x, np.int64) for x, _ in rows]) if len(own) else np.zeros(0, np.int64)
-    y = np.array([v for _, v in rows], float)
-    w, b = np.zeros(n), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    scale = 4 / (np.bincount(idx, minlength=n) + l2)
+    own = np.repeat(np.arange(len(rows)), [len(x) for x, _, _ in rows])
+    idx = np.concatenate([np.array(x, np.int64) for x, _, _ in rows]) if len(own) else np.zeros(0, np.int64)
+    y = np.array([v for _, v, _ in rows], float)
+    times = np.array([m for _, _, m in rows], float)
+    w, b = np.zeros(n), math.log((times @ y + 1) / (times @ (1 - y) + 1))
+    scale = 4 / (np.bincount(idx, times[own], minlength=n) + l2)
     vel, vel_b = np.zeros(n), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(own, w[idx], minlength=len(y)), -30, 30)))
-        vel = 0.8 * vel - 0.1 * scale * (np.bincount(idx, (p - y)[own], minlength=n) + l2 * w)
-        vel_b = 0.8 * vel_b - 0.1 * 4 * (p - y).mean()
+        vel = 0.8 * vel - 0.1 * scale * (np.bincount(idx, (times * (p - y))[own], minlength=n) + l2 * w)
+        vel_b = 0.8 * vel_b - 0.1 * 4 * (times @ (p - y)) / times.sum()
         w, b = w + vel, b + vel_b
     return b, w
 
@@ -273,7 +274,9 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
             rows = [sorted({place[f] for f in features(ws) if f in place}) for ws in batch.column("ws").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int64()))], names=["y", "x"])
 
-    rows = sorted((list(r.x), r.y) for r in labelled.mapInArrow(represent, "y int, x array<long>").collect())
+    # equal rows are one row with a count; most have no feature at all
+    same = labelled.mapInArrow(represent, "y int, x array<long>").groupBy("y", "x").agg(F.count("*").alias("n"))
+    rows = sorted((list(r.x), r.y, r.n) for r in same.collect())
     bias, weights = _fit(rows, len(chosen))
     return ToxicModel(trigrams, bias, {f: float(weights[i]) for f, i in place.items() if abs(weights[i]) > 1e-6})
 
