@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, secrets, sharding, toxicity
+from . import fingerprint, interpolation, jaccard, mixing, packing, pii, quality, secrets, sharding, toxicity
 from ._shared import read_documents
 
 
@@ -26,10 +26,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.lm_scores(read_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_documents(spark, sf_dir))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read_documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,7 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_mixing": op4_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
