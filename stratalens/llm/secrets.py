@@ -131,23 +131,35 @@ def _redact_text(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(documents: DataFrame) -> DataFrame:
-    """The same rows and columns with every span replaced by its kind in brackets; n_chars follows the new text."""
+def redact_secrets(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The same rows and columns with every span replaced by its kind in brackets; n_chars follows the new text.
+
+    The scan is that of `scan_unseen`: each distinct text once, and none that the ledger holds.
+    """
     ship(documents.sparkSession)
-    schema = documents.schema
+    _, ledger = scan_unseen(documents, ledger)
+    hits = materialize(ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != "")).select("blob", "spans"), "hits")
+    few = hits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     cols = documents.columns
+    at = {c: f"c{i}" for i, c in enumerate(cols)}  # names of other columns must not clash
+    keyed = documents.select(*[F.col(c).alias(n) for c, n in at.items()], F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    found = keyed.join(F.broadcast(hits) if few else hits, "blob", "left").drop("blob")
+    text = cols.index("text")
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            new = [x and (_redact_text(x, s) if (s := spans[x] if x in spans else spans.setdefault(x, _joined(scan_text(x)))) else x)
-                   for spans in [{}] for x in batch.column("text").to_pylist()]
-            arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in cols]
-            if "n_chars" in cols:
-                at = cols.index("n_chars")
-                arrays[at] = pa.array([None if x is None else len(x) for x in new], pa.int64())
-            yield pa.RecordBatch.from_arrays(arrays, names=cols)
-
-    return documents.mapInArrow(redact, schema)
+            spans = batch.column("spans").to_pylist()
+            arrays = [batch.column(i) for i in range(len(cols))]
+            if any(spans):
+                new = [_redact_text(x, s) if s else x for x, s in zip(arrays[text].to_pylist(), spans, strict=True)]
+                arrays[text] = pa.array(new, pa.string())
+                if "n_chars" in cols:
+                    k = cols.index("n_chars")
+                    arrays[k] = pa.array([len(x) if s else n for x, s, n in zip(new, spans, arrays[k].to_pylist(), strict=True)], arrays[k].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=list(at.values()))
+
+    schema = keyed.drop("blob").schema
+    return found.mapInArrow(redact, schema).select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def base_digest(text: str) -> str:
