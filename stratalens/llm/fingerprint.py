@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, ship, small_slices, texts
 
-CELLS = 24
+CELLS = 12
 LONG = 240
 CHUNK = 120
 ROWS = 256
