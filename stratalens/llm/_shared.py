@@ -37,7 +37,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def hash_bucket(col: Column | str, n: int, modulus: int) -> Column:
     """True for the rows with crc32(id as text) mod `modulus` = `n`; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")) % modulus == n
+    value = F.col(col) if isinstance(col, str) else col
+    return F.crc32(F.coalesce(value.cast("string"), F.lit(""))) % modulus == n
 
 
 def scratch_dir(spark: SparkSession) -> str:
