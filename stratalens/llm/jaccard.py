@@ -40,8 +40,8 @@ THRESHOLD = 75
 #: Class 0 of order 1: hashes below this.
 CLASS_0 = -(1 << 63) + 3 * (1 << 61)
 LEADERS = 2
-#: Most rounds of one more leader for what is left over, which go on while a left-over row has more than FEW partners.
-ROUNDS = 6
+#: Most rounds of one more leader for what is left over; they go on while a left-over row has more than FEW partners.
+ROUNDS = 1
 FEW = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
