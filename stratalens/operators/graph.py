@@ -58,7 +58,7 @@ def chain_text(closure: DataFrame, arrow: str = " → ") -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """Edges (src, dst, kind, via, line, rank) with their place `ord` among their source's; self-loops go."""
     kind = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
-    w = Window.partitionBy("src").orderBy(kind, "dst", F.col("line").asc_nulls_first(), F.col("via").asc_nulls_first())
+    w = Window.partitionBy("src").orderBy(kind, "dst", F.col("line").asc_nulls_first(), F.col("via").asc_nulls_first(), F.desc("rank"))
     return edges.filter("src <> dst").withColumn("ord", F.row_number().over(w))
 
 

@@ -80,7 +80,7 @@ def _supply(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with a as (
   select 'o' || l_orderkey as src, 's' || l_suppkey as dst, l_linenumber as line, case when l_discount > 0.05 then 2 else 3 end as rank from lineitem),
-oa as (select src, dst, rank, row_number() over (partition by src order by dst, line) as ord from a),
+oa as (select src, dst, rank, row_number() over (partition by src order by dst, line, rank desc) as ord from a),
 ca as (select 'c' || o_custkey as src, 'o' || o_orderkey as dst, row_number() over (partition by o_custkey order by 'o' || o_orderkey) as ord from orders),
 p as (select ca.src as entry, oa.dst as target, oa.rank as confidence, ca.dst as mid, ca.ord as o1, oa.ord as o2
   from ca join oa on ca.dst = oa.src join supplier on oa.dst = 's' || s_suppkey where s_acctbal < 0),
