@@ -10,10 +10,13 @@ share a token among the first n - ceil(t n) + 1 of each, under any one order of
    slices of the sorted sets, before the exact intersection is taken.
 
 A pair's prefixes are as short as its two sizes allow. All pairs of a large group are never made. Every token first
-pairs its documents with two leaders; the verified links give components. In each round after that, a token pairs the
+pairs its documents with two leaders, one of them the document in whose prefix it stands first (that with the fewest rare
+tokens, which stands near a group's centre); the verified links give components. In each round after that, a token pairs the
 documents outside its largest component with one random member of it, until few are left. Last, each token pairs all
 documents of different components: the members of its largest component are not paired with each other, as their links
-cannot change the result. What is left out is a link inside a component.
+cannot change the result. What is left out is a link inside a component. A join row is made only if the two sets' parity
+bitmaps differ in no more bits than linked sets can: each token flips one bit, so that the sets' symmetric difference has
+at least as many tokens as the bitmaps have differing bits. No link is lost by this.
 
 Equal texts form one class, found by a 64-bit hash; copies are set aside before shingling. Hash collisions (2^-64 a
 pair) are the only source of error.
@@ -43,6 +46,8 @@ LEADERS = 2
 #: Most rounds of one more leader for what is left over; they go on while a left-over row has more than FEW partners.
 ROUNDS = 1
 FEW = 8
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -84,6 +89,12 @@ def prefix_length(n: int) -> int:
     return n - -(-THRESHOLD * n // 100) + 1 if n else 0
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit."""
+    parity = np.bincount((s & (64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int64).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
@@ -106,13 +117,14 @@ def _counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, k, n of every row, and the set itself where it is wanted."""
+    """doc_id, k, n of every row, and the set itself and its bitmap where it is wanted."""
     for batch in small_slices(batches):
         sets = [shingles(t) for t in texts(batch)]
         wanted = batch.column("wanted").to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), _lists([s if w else s[:0] for s, w in zip(sets, wanted, strict=True)])],
-            names=["doc_id", "k", "n", "s"])
+            [batch.column("doc_id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), _lists([s if w else s[:0] for s, w in zip(sets, wanted, strict=True)]),
+             _lists([bitmap(s) if w else s[:0] for s, w in zip(sets, wanted, strict=True)])],
+            names=["doc_id", "k", "n", "s", "bits"])
 
 
 def _at_most(df: DataFrame) -> DataFrame:
@@ -144,6 +156,12 @@ def _in_prefixes() -> Column:
     return (F.col("x.r") <= nx - need + 1) & (F.col("y.r") <= ny - need + 1) & (100 * F.least(nx, ny) >= THRESHOLD * F.greatest(nx, ny))
 
 
+def _near_bitmaps() -> Column:
+    """False only if the bitmaps of x and y differ in more bits than the symmetric difference of linked sets can have."""
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    return (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col("x.n") + F.col("y.n"))
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b) of the rows (x, y) that may be linked."""
     rows = rows.filter((F.col("x.k") != F.col("y.k")) & _in_prefixes())
@@ -210,12 +228,13 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     on = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     every = materialize(
         documents.select("doc_id", "text", F.xxhash64("text").alias("k")).join(wanted, on, "left")
-        .select("doc_id", "text", "k", F.col("_k").isNotNull().alias("wanted")).mapInArrow(_sets, "doc_id long, k long, n long, s array<long>"), "sets")
+        .select("doc_id", "text", "k", F.col("_k").isNotNull().alias("wanted")).mapInArrow(_sets, "doc_id long, k long, n long, s array<long>, bits array<long>"), "sets")
     sets = every.filter(F.size("s") > 0).dropDuplicates(["k"])
+    bits = sets.select(F.col("k").alias("_b"), "bits")
 
-    # leaders: the same few random members for every token of a group
+    # leaders: of every token the document that has it first, and the same few random members for all tokens of a group
     row = F.struct("k", "n", "r")
-    ranked = [F.min(F.struct(F.xxhash64(F.lit(i), "k").alias("h"), row.alias("y"))).alias(f"l{i}") for i in range(LEADERS)]
+    ranked = [F.min(F.struct((F.xxhash64(F.lit(i), "k") if i else F.col("r").cast("long")).alias("h"), row.alias("y"))).alias(f"l{i}") for i in range(LEADERS)]
     led = prefix.join(prefix.groupBy("tok").agg(*ranked), "tok").select(row.alias("x"), F.explode(F.array(*[F.col(f"l{i}.y") for i in range(LEADERS)])).alias("y"))
     links = materialize(_linked(_pairs(led), sets), "links")
     root = components(links)
@@ -233,9 +252,12 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
             more = materialize(_linked(tried, sets), "links")
         else:
             # what is left: pairs of different components that share a token
-            other = open_.select("tok", F.col("x").alias("y"), F.col("c").alias("cy"))
-            cross = minor.join(other, "tok").filter((F.col("c") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.k") < F.col("y.k"))) & _in_prefixes())
+            seen = materialize(open_.select("tok", "x", "c", "major").join(bits, F.col("x.k") == F.col("_b")).drop("_b"), "bits")
+            other = seen.select("tok", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("bits").alias("bits_y"))
+            cross = seen.filter("c <> major").join(other, "tok").filter(
+                (F.col("c") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.k") < F.col("y.k"))) & _in_prefixes() & _near_bitmaps())
             more = materialize(_linked(_pairs(cross), sets), "links")
+            release(seen)
         links = links.unionByName(more)
         root = components(links)
         release(open_)

@@ -337,3 +337,23 @@ def test_toxicity_held_out(spark):
     true = [r for r in held if r.toxic]
     assert sum(r.predicted for r in true) >= 0.6 * len(true)
     assert sum(r.predicted for r in held if not r.toxic) <= 0.05 * len(held)
+
+
+def test_bitmaps_never_drop_a_link():
+    """The parity bitmaps of linked sets differ in no more bits than the join allows."""
+    import random
+
+    import numpy as np
+
+    from stratalens.llm import jaccard
+
+    rng = random.Random(5)
+    for _ in range(300):
+        base = [rng.getrandbits(63) for _ in range(rng.randrange(1, 400))]
+        other = [x for x in base if rng.random() > 0.12] + [rng.getrandbits(63) for _ in range(rng.randrange(0, 1 + len(base) // 8))]
+        a, b = set(base), set(other)
+        if b and 100 * len(a & b) >= jaccard.THRESHOLD * len(a | b):
+            x, y = (jaccard.bitmap(np.array(sorted(s), np.int64)) for s in (a, b))
+            differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert len(x) == jaccard.BITMAP
+            assert (100 + jaccard.THRESHOLD) * differ <= (100 - jaccard.THRESHOLD) * (len(a) + len(b))
