@@ -249,27 +249,37 @@ def warnings(files: DataFrame) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """One row for each file: declarations, refs, facts and imports as arrays; read each with `entity`."""
+    return _parsed(files, "path", "")
+
+
+def parsed_versions(files: DataFrame) -> DataFrame:
+    """As `parsed`, with the version (path, mtime, size) of each file; works on streams too."""
+    return _parsed(files, "path, mtime, size", "path string, mtime bigint, size bigint, ")
+
+
+def _parsed(files: DataFrame, keep: str, ddl_of_kept: str) -> DataFrame:
     ship(files.sparkSession)
     struct = lambda s: "struct<" + ", ".join(c.replace(" ", ": ", 1) for c in s.split(", ")) + ">"
 
     # the same names and types as Spark's, for the workers' batches
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     of = lambda s: pa.list_(pa.struct([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in s.split(", ")]))
-    target = pa.schema([("declarations", of(DECLARATIONS)), ("refs", of(REFS)), ("facts", of(FACTS)), ("imports", of(IMPORTS))])
+    kept = [c.strip() for c in keep.split(",")] if ddl_of_kept else []
+    target = pa.schema([*[(c, pa.string() if c == "path" else pa.int64()) for c in kept], ("declarations", of(DECLARATIONS)), ("refs", of(REFS)), ("facts", of(FACTS)), ("imports", of(IMPORTS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                u = parse(content or "")
-                row = {
+            for file in batch.to_pylist():
+                path, u = file["path"], parse(file["content"] or "")
+                row = {c: file[c] for c in kept} | {
                     "declarations": [{"path": path, "ord": k, "package": u.package, "partial": u.partial} | {x: getattr(d, x) for x in ("id", "name", "owner", "kind", "abstract", "line", "end_line", "declaration", "original_name")} for k, d in enumerate(u.declarations)],
                     "refs": [{"owner": d.id, "ord": k, "name": n, "kind": kind} for d in u.declarations for k, (n, kind) in enumerate(d.refs)],
                     "facts": [f | {"ord": k} for k, f in enumerate(u.facts)],
                     "imports": [{"path": path, "simple": s, "fqn": n, "wildcard": w} for s, n, w in u.imports]}
                 yield pa.RecordBatch.from_pylist([row], schema=target)
 
-    ddl = f"declarations array<{struct(DECLARATIONS)}>, refs array<{struct(REFS)}>, facts array<{struct(FACTS)}>, imports array<{struct(IMPORTS)}>"
-    return files.filter(F.octet_length("content") <= MAX_BYTES).select("path", "content").mapInArrow(run, ddl)
+    ddl = ddl_of_kept + f"declarations array<{struct(DECLARATIONS)}>, refs array<{struct(REFS)}>, facts array<{struct(FACTS)}>, imports array<{struct(IMPORTS)}>"
+    return files.filter(F.octet_length("content") <= MAX_BYTES).selectExpr(*[c.strip() for c in keep.split(",")], "content").mapInArrow(run, ddl)
 
 
 def entity(rows: DataFrame, name: str) -> DataFrame:
