@@ -131,16 +131,22 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
-        out: set[str] = set()
         tokens = text.split()
+        distinct = set(tokens)
         kept = self.kept
-        for t in set(tokens):
+        out = self.spelled(tokens, distinct)
+        for t in distinct:
             found = kept.get(t)
             if found is None:
                 found = kept[t] = self.token(t)
             out.update(found)
+        return out
+
+    def spelled(self, tokens: list[str], distinct: set[str]) -> set[str]:
+        """Words that runs of single characters spell; `distinct`: the set of the tokens."""
+        out: set[str] = set()
         run: list[str] = []
-        if any(map(_ONE.__contains__, tokens)):
+        if not _ONE.isdisjoint(distinct):
             for t in [*tokens, ""]:
                 if len(t) == 1:
                     run.append(t)
@@ -291,22 +297,32 @@ def _gain(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
 
 
 class _Scorer:
-    """Sums weights over the distinct restored words of a text."""
+    """Sums weights over the distinct restored words of a text. Tokens without a weight are remembered as a set."""
 
     def __init__(self, model: ToxicModel):
         self.restorer, self.model = Restorer(CharModel(model.trigrams)), model
-        self.kept: dict[str, tuple[str, ...]] = {}
+        self.weighty: dict[str, tuple[str, ...]] = {}
+        self.plain: set[str] = set()
+
+    def _weighted(self, words: Iterable[str]) -> tuple[str, ...]:
+        return tuple(f for f in features(words) if f in self.model.weights)
 
     def score(self, text: str) -> float:
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        hits: set[str] = set()
-        for w in self.restorer.words(text):
-            found = self.kept.get(w)
+        if len(self.weighty) + len(self.plain) > CACHE_WORDS:
+            self.weighty.clear()
+            self.plain.clear()
+        tokens = text.split()
+        distinct = set(tokens)
+        hits = set(self._weighted(self.restorer.spelled(tokens, distinct)))
+        for t in distinct - self.plain:
+            found = self.weighty.get(t)
             if found is None:
-                found = self.kept[w] = tuple(f for f in features((w,)) if f in self.model.weights)
-            if found:
-                hits.update(found)
+                found = self._weighted(self.restorer.token(t))
+                if not found:
+                    self.plain.add(t)
+                    continue
+                self.weighty[t] = found
+            hits.update(found)
         z = self.model.bias + sum(self.model.weights[f] for f in sorted(hits))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
