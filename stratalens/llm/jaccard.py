@@ -100,31 +100,14 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, tok, n, e: the e tokens that order 1 can put in a prefix, of n."""
-    for batch in small_slices(batches):
-        toks, ks, ns, es = [], [], [], []
-        for k, text in zip(batch.column("k").to_pylist(), texts(batch), strict=True):
-            s = shingles(text)
-            p = prefix_length(len(s))
-            n, s = len(s), s[: max(p, int(np.searchsorted(s, CLASS_0)))]
-            toks.append(s)
-            ks.append(np.full(len(s), k, np.int64))
-            ns.append(np.full(len(s), n, np.int32))
-            es.append(np.full(len(s), len(s), np.int32))
-        join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-        yield pa.RecordBatch.from_arrays([join(ks, np.int64), join(toks, np.int64), join(ns, np.int32), join(es, np.int32)], names=["k", "tok", "n", "e"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, k, n of every row, and the set itself and its bitmap where it is wanted."""
+    """k, n, e, s, bits: a text's sorted set of n tokens, of which order 1 can put the first e in a prefix, and its bitmap."""
     for batch in small_slices(batches):
         sets = [shingles(t) for t in texts(batch)]
-        wanted = batch.column("wanted").to_pylist()
+        early = [max(prefix_length(len(s)), int(np.searchsorted(s, CLASS_0))) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), _lists([s if w else s[:0] for s, w in zip(sets, wanted, strict=True)]),
-             _lists([bitmap(s) if w else s[:0] for s, w in zip(sets, wanted, strict=True)])],
-            names=["doc_id", "k", "n", "s", "bits"])
+            [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(early, pa.int32()), _lists(sets), _lists([bitmap(s) for s in sets])],
+            names=["k", "n", "e", "s", "bits"])
 
 
 def _at_most(df: DataFrame) -> DataFrame:
@@ -208,10 +191,13 @@ def _one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and k (the text's class) of every row."""
+    """doc_id, n_shingles, component_id and k (the text's class; null for a null text) of every row."""
     ship(documents.sparkSession)
-    classes = materialize(documents.filter("text is not null").select("doc_id", F.xxhash64("text").alias("k")), "classes")
-    tokens = _one_of_each(documents, classes).mapInArrow(_counted_tokens, "k long, tok long, n int, e int")
+    rows_ = materialize(documents.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("k")), "classes")
+    classes = rows_.filter("k is not null")
+    # texts become sets once; all later steps read these
+    every = materialize(_one_of_each(documents, classes).mapInArrow(_sets, "k long, n long, e int, s array<long>, bits array<long>"), "sets")
+    tokens = every.select("k", F.explode(F.slice("s", 1, F.col("e"))).alias("tok"), F.col("n").cast("int").alias("n"), "e")
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     # order 1 of each set's shared tokens; the tokens of class 0 stand first, rarest first, the others by hash
     late = F.col("tok") >= CLASS_0
@@ -222,14 +208,10 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
         mine.distinct().withColumn("r", (F.row_number().over(place) + F.col("e") - F.count("*").over(Window.partitionBy("k"))).cast("int"))
         .filter(F.col("r") <= _prefix(F.col("n"))).select("tok", "k", "n", "r"), "prefix")
     release(mine)
-    # the sets of the classes that are left, and the sizes of all
-    least = classes.groupBy("k").agg(F.min("doc_id").alias("_d"))
-    wanted = _at_most(materialize(least.join(prefix.select("k").distinct(), "k", "left_semi").select(F.col("k").alias("_k"), "_d"), "wanted"))
-    on = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    every = materialize(
-        documents.select("doc_id", "text", F.xxhash64("text").alias("k")).join(wanted, on, "left")
-        .select("doc_id", "text", "k", F.col("_k").isNotNull().alias("wanted")).mapInArrow(_sets, "doc_id long, k long, n long, s array<long>, bits array<long>"), "sets")
-    sets = every.filter(F.size("s") > 0).dropDuplicates(["k"])
+    # the sets of the classes that are left; rows that repeat an id and a text left theirs twice
+    sets = every.join(_at_most(materialize(prefix.select("k").distinct(), "wanted")), "k", "left_semi")
+    if every.groupBy("k").count().filter("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["k"])
     bits = sets.select(F.col("k").alias("_b"), "bits")
 
     # leaders: of every token the document that has it first, and the same few random members for all tokens of a group
@@ -264,12 +246,14 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
         if not (i < ROUNDS and pairs > FEW * rows):
             break
 
-    named = classes.groupBy("k").agg(F.min("doc_id").alias("d")).join(root, F.col("k") == F.col("node"), "left").select("k", "d", F.coalesce("root", "k").alias("c"))
-    named = materialize(named, "named")
+    size = every.groupBy("k").agg(F.min("n").alias("n_shingles"))
+    named = classes.groupBy("k").agg(F.min("doc_id").alias("d")).join(size, "k").join(root, F.col("k") == F.col("node"), "left")
+    named = materialize(named.select("k", "d", "n_shingles", F.coalesce("root", "k").alias("c")), "named")
     ids = named.groupBy("c").agg(F.min("d").alias("component_id"))
-    by_class = named.join(ids, "c").select(F.col("k").alias("_k"), "component_id")
-    return every.select("doc_id", "k", "n").join(by_class, F.col("k") == F.col("_k"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "k")
+    by_class = named.join(ids, "c").select("k", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
+    found = classes.join(by_class, "k").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k")
+    null = rows_.filter("k is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k")
+    return found.unionByName(null)
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
