@@ -4,8 +4,9 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets w
 share a token among the first n - ceil(t n) + 1 of each, under any one order of all tokens. Three orders are used:
 
 1. class, then rarity, then hash. Class 0 holds the lowest 3/8 of the hash space, so a prefix (a quarter of a set) lies in
-   class 0 for all but tiny sets, and only class 0 tokens need counting. A set whose unshared tokens fill its prefix has
-   no partner. This order makes the candidates.
+   class 0 for all but tiny sets, and only class 0 tokens need counting. The other tokens follow in plain hash order, in
+   their places in the sorted set. A set whose unshared class 0 tokens fill its prefix has no partner. This order makes
+   the candidates.
 2. ascending hash and 3. descending hash: a candidate pair must also share a token of its prefixes under both, which are
    slices of the sorted sets, before the exact intersection is taken.
 
@@ -101,13 +102,13 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, n, e, s, bits: a text's sorted set of n tokens, of which order 1 can put the first e in a prefix, and its bitmap."""
+    """k, n, c, s, bits: a text's sorted set of n tokens, of which the first c are of class 0, and its bitmap."""
     for batch in small_slices(batches):
         sets = [shingles(t) for t in texts(batch)]
-        early = [max(prefix_length(len(s)), int(np.searchsorted(s, CLASS_0))) for s in sets]
+        early = [int(np.searchsorted(s, CLASS_0)) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(early, pa.int32()), _lists(sets), _lists([bitmap(s) for s in sets])],
-            names=["k", "n", "e", "s", "bits"])
+            names=["k", "n", "c", "s", "bits"])
 
 
 def _at_most(df: DataFrame) -> DataFrame:
@@ -196,16 +197,20 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     rows_ = materialize(documents.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("k")), "classes")
     classes = rows_.filter("k is not null")
     # texts become sets once; all later steps read these
-    every = materialize(_one_of_each(documents, classes).mapInArrow(_sets, "k long, n long, e int, s array<long>, bits array<long>"), "sets")
-    tokens = every.select("k", F.explode(F.slice("s", 1, F.col("e"))).alias("tok"), F.col("n").cast("int").alias("n"), "e")
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    # order 1 of each set's shared tokens; the tokens of class 0 stand first, rarest first, the others by hash
+    every = materialize(_one_of_each(documents, classes).mapInArrow(_sets, "k long, n long, c int, s array<long>, bits array<long>"), "sets")
+    # all that order 1 can put in a prefix; `at`: c of a class 0 token, the place in order 1 of any other
+    early = F.slice("s", F.lit(1), F.greatest(F.col("c"), _prefix(F.col("n"))))
+    tokens = every.select("k", F.posexplode(early).alias("i", "tok"), F.col("n").cast("int").alias("n"), "c")
     late = F.col("tok") >= CLASS_0
+    tokens = tokens.select("k", "tok", "n", F.when(late, F.col("i") + 1).otherwise(F.col("c")).alias("at"))
+    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+    # the class 0 tokens that are shared stand after those that are not, rarest first; df of a late token counts prefixes only
     place = Window.partitionBy("k").orderBy(late, F.when(~late, F.col("df")), "tok")
+    unshared = F.col("at") - F.count(F.when(~late, F.lit(1))).over(Window.partitionBy("k"))
     mine = materialize(tokens.join(shared, "tok"), "shared")
-    # r: the place in order 1, after the e - m tokens that no other text has
+    # r: the place in order 1
     prefix = materialize(
-        mine.distinct().withColumn("r", (F.row_number().over(place) + F.col("e") - F.count("*").over(Window.partitionBy("k"))).cast("int"))
+        mine.distinct().withColumn("r", F.when(late, F.col("at")).otherwise(F.row_number().over(place) + unshared).cast("int"))
         .filter(F.col("r") <= _prefix(F.col("n"))).select("tok", "k", "n", "r"), "prefix")
     release(mine)
     # the sets of the classes that are left; rows that repeat an id and a text left theirs twice

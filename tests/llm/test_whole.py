@@ -1,0 +1,40 @@
+"""Cases in which an operator once did less than the whole job."""
+
+from __future__ import annotations
+
+import random
+
+from stratalens.llm import jaccard
+
+
+def components_of(texts):
+    """The least index that links reach from each text, by brute force over all pairs of sets."""
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_jaccard_short_pairs(spark):
+    """Short sets with few class 0 tokens: the prefixes then reach into tokens that the partner's prefix lacks."""
+    r = random.Random(11)
+    texts = ["please can two own on for members kids", "please can two own on for members kids note"]
+    for i in range(1500):
+        w = [f"q{i}w{j}" for j in range(r.randrange(7, 22))]
+        more = [f"q{i}m{j}" for j in range(r.choice([1, 1, 2, 3]))]
+        texts += [" ".join(w), " ".join(r.choice([[*w, *more], [*more, *w], [*more, *w, *more]]))]
+    # only the two texts of a pair share shingles
+    want = [2 * (i // 2) + x for i in range(0, len(texts), 2) for x in components_of(texts[i : i + 2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_join(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert 500 < sum(i != x for i, x in enumerate(want))
