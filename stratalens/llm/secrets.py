@@ -83,7 +83,8 @@ def _one_copy(documents: DataFrame, wanted: DataFrame, paths: DataFrame) -> Data
     if n <= BROADCAST_IDS:  # the ids to skip fit in memory, and the texts needn't move
         both = both.join(F.broadcast(spare), "doc_id", "left_anti")
     else:
-        both = both.join(wanted.select("doc_id"), "doc_id", "left_semi")
+        # rows without an id match no id: they are read besides
+        both = both.join(wanted.select("doc_id"), "doc_id", "left_semi").unionByName(both.filter("doc_id is null"))
     return both.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from stratalens.llm import jaccard
+from stratalens.llm import jaccard, secrets
 
 
 def components_of(texts):
@@ -38,3 +38,18 @@ def test_jaccard_short_pairs(spark):
     got = {x.doc_id: x.component_id for x in jaccard.jaccard_join(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert 500 < sum(i != x for i, x in enumerate(want))
+
+
+def test_secrets_without_an_id(spark, monkeypatch):
+    """Texts that only rows without an id hold are scanned, however many spare copies there are."""
+    rows = [(1, "plain"), (2, "plain"), (3, "token = abcdefgh12"), (None, "secret = 0123456789"), (None, "plain"), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def both():
+        spans = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in secrets.secret_spans(docs).collect())
+        return spans, sorted((r.doc_id or 0, r.text or "") for r in secrets.redact_secrets(docs).collect())
+
+    few = both()
+    assert (0, 1, "assign:0:19") in few[0] and (0, "[assign]") in few[1]
+    monkeypatch.setattr(secrets, "BROADCAST_IDS", 0)
+    assert both() == few
