@@ -123,9 +123,6 @@ class Restorer:
             return ()
         if len(w) > MAX_DECODED or (w.isalpha() and not _run_of_three(w)):
             return (w,)
-        letters = sum(c in _ALPHABET for c in w)
-        if not letters or sum(c.isdigit() for c in w) > 2 * letters:
-            return ()
         return (*self.model.decode(w),)
 
     def words(self, text: str) -> set[str]:

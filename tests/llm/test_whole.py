@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
-from stratalens.llm import jaccard, secrets
+from stratalens.llm import jaccard, secrets, toxicity
 
 
 def components_of(texts):
@@ -53,3 +54,19 @@ def test_secrets_without_an_id(spark, monkeypatch):
     assert (0, 1, "assign:0:19") in few[0] and (0, "[assign]") in few[1]
     monkeypatch.setattr(secrets, "BROADCAST_IDS", 0)
     assert both() == few
+
+
+def trigrams(text):
+    return dict(Counter(g for w in text.split() for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))))
+
+
+GRAMS = trigrams("idiot stupid moron trash shit clown loser the and of thing that with you pathetic worthless island detail")
+
+
+def test_tokens_of_digits():
+    """Words are decoded however few of their letters are left."""
+    restorer = toxicity.Restorer(toxicity.CharModel(GRAMS))
+    for token, word in (("1d107", "idiot"), ("1053r", "loser"), ("5h17", "shit"), ("57up1d", "stupid"), ("5417", "sait")):
+        assert word in restorer.token(token)
+    scorer = toxicity._Scorer(toxicity.ToxicModel(GRAMS, -3.0, {"idiot": 6.0}))
+    assert scorer.score("that 1d107") > 0.9 > 0.1 > scorer.score("that island")
