@@ -6,7 +6,9 @@ each character may stand for: itself, a letter it looks like, nothing (a separat
 before. A logistic model over words and word beginnings then scores the restored words.
 
 Labels are learnt from a bounded sample of the labelled rows that may be used (`labelled_rows`); neither ids nor other
-columns are inputs. A token above `MAX_DECODED` characters is no word and is not decoded; texts are read whole.
+columns are inputs. A token above `MAX_DECODED` characters that hides letters is decoded in overlapping windows, without
+its separators and with its runs shortened; any word of up to `LONGEST` letters, each of them doubled or with a sign
+behind it, lies whole in a window. Texts are read whole.
 
 Defined cases: a null or empty text gets the score of the bias alone; rows that repeat an id each return; labels
 without a row or document are ignored; without any toxic label every score is the smoothed share of toxic labels; an
@@ -16,6 +18,7 @@ empty table returns no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -34,6 +37,8 @@ FEATURES = 4_096
 #: Least G statistic of a feature.
 MIN_GAIN = 24.0
 MAX_DECODED = 32
+#: Letters of the longest word that is looked for where words have no bounds.
+LONGEST = 14
 PREFIXES = range(3, 8)
 CACHE_WORDS = 300_000
 
@@ -121,9 +126,9 @@ class Restorer:
                 w = w.rstrip("!$")
         if not w:
             return ()
-        if len(w) > MAX_DECODED or (w.isalpha() and not _run_of_three(w)):
+        if w.isalpha() and not _run_of_three(w):
             return (w,)
-        return (*self.model.decode(w),)
+        return (*self.model.decode(w),) if len(w) <= MAX_DECODED else (w, *sorted(self._unbounded(w)))
 
     def words(self, text: str) -> set[str]:
         if len(self.kept) > CACHE_WORDS:
@@ -135,7 +140,9 @@ class Restorer:
         for t in distinct:
             found = kept.get(t)
             if found is None:
-                found = kept[t] = self.token(t)
+                found = self.token(t)
+                if len(t) <= MAX_DECODED:  # longer ones may stand for many words
+                    kept[t] = found
             out.update(found)
         return out
 
@@ -153,15 +160,26 @@ class Restorer:
                     run.clear()
         return out
 
-    def _spaced(self, run: str) -> set[str]:
+    def _spaced(self, run: str, width: int = MAX_DECODED) -> set[str]:
         """Words that single characters spell, wherever they begin and end."""
         out = set()
-        for at in range(0, len(run), MAX_DECODED // 2):
-            for w in self.model.decode(run[at : at + MAX_DECODED], 1):
-                out |= {w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 14) + 1)}
+        for at in range(0, len(run), width // 2):
+            for w in self.model.decode(run[at : at + width], 1):
+                out |= {w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + LONGEST) + 1)}
+        return out
+
+    def _unbounded(self, token: str) -> set[str]:
+        """Words behind a long token. Characters that can only be separators go; a run stands for one letter or two."""
+        out: set[str] = set()
+        said = "".join(c for c in token if c in _ALPHABET or c in LOOKALIKES)
+        for run in {_RUN.sub(r"\1", said), _RUN.sub(r"\1\1", said)}:
+            out |= self._spaced(run, 2 * MAX_DECODED)
+            if len(run) <= MAX_DECODED:
+                out.update(self.model.decode(run))
         return out
 
 
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
 _ONE = frozenset([*LETTERS, *LETTERS.upper(), *LOOKALIKES])
 
 

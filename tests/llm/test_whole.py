@@ -70,3 +70,19 @@ def test_tokens_of_digits():
         assert word in restorer.token(token)
     scorer = toxicity._Scorer(toxicity.ToxicModel(GRAMS, -3.0, {"idiot": 6.0}))
     assert scorer.score("that 1d107") > 0.9 > 0.1 > scorer.score("that island")
+
+
+def test_long_tokens():
+    """Tokens above MAX_DECODED characters are decoded too."""
+    restorer = toxicity.Restorer(toxicity.CharModel(GRAMS))
+    spelt = ".".join("youstupidworthlessidiot")
+    assert len(spelt) > toxicity.MAX_DECODED and {"stupid", "worthless", "idiot"} <= restorer.words(f"that {spelt} thing")
+    assert "idiot" in restorer.token("idi" + "o" * 40 + "t")
+    assert {"stupid", "pathetic", "loser"} <= set(restorer.token("y-o-u-5-7-u-p-1-d-p-4-t-h-e-t-i-c-1-0-5-3-r"))
+    assert {"pathetic", "worthless"} <= set(restorer.token("".join(c * 3 for c in "thatpatheticworthlessthing")))
+    many = restorer.token(".".join("island" * 30 + "worthless" + "detail" * 30))
+    assert {"worthless", "island", "detail"} <= set(many)
+    plain = "donau" * 8
+    assert restorer.token(plain) == (plain,)
+    scorer = toxicity._Scorer(toxicity.ToxicModel(GRAMS, -3.0, {"idiot": 6.0}))
+    assert scorer.score(spelt) > 0.9
