@@ -25,14 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import hash_bucket, materialize, ship, small_slices, texts
+from ._shared import BROADCAST_IDS, hash_bucket, materialize, ship, small_slices, texts
 
 THRESHOLD = 0.3
 LABELLED_ROWS = 50_000
-CANDIDATES = 10_000
 FEATURES = 4_096
 #: Least G statistic of a feature.
 MIN_GAIN = 24.0
@@ -267,13 +266,14 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     if not n_pos:
         return ToxicModel(trigrams, prior)
 
-    def count(wanted: frozenset[str] | None, y: int) -> DataFrame:
+    def count(y: int) -> DataFrame:
+        """f, n: rows with a feature, in parts."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[str] = Counter()
             for batch in small_slices(batches):
                 for ws in batch.column("ws").to_pylist():
-                    fs = set(features(ws))
-                    seen.update(fs if wanted is None else fs & wanted)
+                    seen.update(set(features(ws)))
                 if len(seen) > 4 * CACHE_WORDS:
                     yield flush(seen)
             yield flush(seen)
@@ -283,11 +283,15 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
             seen.clear()
             return out
 
-        return labelled.filter(F.col("y") == y).select("ws").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return labelled.filter(F.col("y") == y).select("ws").mapInArrow(run, "f string, n long")
 
-    pos = {r.f: r.n for r in count(None, 1).filter("n >= 3").orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()}
-    neg = {r.f: r.n for r in count(frozenset(pos), 0).collect()}
-    chosen = sorted((f for f in pos if _gain(pos[f], neg.get(f, 0), n_pos, n - n_pos) > MIN_GAIN), key=lambda f: (-_gain(pos[f], neg.get(f, 0), n_pos, n - n_pos), f))[:FEATURES]
+    # every feature of three toxic rows or more is weighed; only the best reach the driver
+    pos = materialize(count(1).groupBy("f").agg(F.sum("n").alias("pos")).filter("pos >= 3"), "toxic-features")
+    few = pos.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    neg = count(0).join(F.broadcast(pos) if few else pos, "f", "left_semi").groupBy("f").agg(F.sum("n").alias("neg"))
+    both = pos.join(neg, "f", "left").select("f", "pos", F.coalesce("neg", F.lit(0)).alias("neg"))
+    gains = both.withColumn("gain", _gain(F.col("pos"), F.col("neg"), n_pos, n - n_pos)).filter(F.col("gain") > MIN_GAIN)
+    chosen = [r.f for r in gains.orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +306,12 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     return ToxicModel(trigrams, bias, {f: float(weights[i]) for f, i in place.items() if abs(weights[i]) > 1e-6})
 
 
-def _gain(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
+def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     """Signed G statistic of a presence; positive where toxic texts have it more often."""
     n, k = n_pos + n_neg, pos + neg
-    if pos * n_neg <= neg * n_pos:
-        return 0.0
     cells = ((pos, n_pos * k), (neg, n_neg * k), (n_pos - pos, n_pos * (n - k)), (n_neg - neg, n_neg * (n - k)))
-    return 2 * sum(o * math.log(o * n / e) for o, e in cells if o and e)
+    total = sum((F.when((o > 0) & (e > 0), o * F.log(o * float(n) / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    return F.when(pos * n_neg <= neg * n_pos, 0.0).otherwise(2 * total)
 
 
 class _Scorer:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
 from stratalens.llm import jaccard, secrets, toxicity
 
 
@@ -86,3 +89,25 @@ def test_long_tokens():
     assert restorer.token(plain) == (plain,)
     scorer = toxicity._Scorer(toxicity.ToxicModel(GRAMS, -3.0, {"idiot": 6.0}))
     assert scorer.score(spelt) > 0.9
+
+
+def test_rare_toxic_word_among_many_features(spark):
+    """A word of half of the toxic rows is learnt though more than 10,000 features stand in all rows."""
+    r = random.Random(3)
+    common = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000))
+    docs = spark.createDataFrame([(i, f"{common} zyzzogeton" if i < 30 else common) for i in range(180)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "doc_id long, toxic int")
+    assert toxicity.train(docs.repartition(4), labels).weights.get("zyzzogeton", 0) > 0
+
+
+def test_gain_of_counts(spark):
+    """The G statistic against its definition."""
+    cases = [(3, 0), (5, 7), (40, 0), (40, 900), (1, 60), (0, 10), (50, 1000)]
+    want = []
+    for pos, neg in cases:
+        table = [(pos, 50, pos + neg), (neg, 1000, pos + neg), (50 - pos, 50, 1050 - pos - neg), (1000 - neg, 1000, 1050 - pos - neg)]
+        g = 2 * sum(o * math.log(o * 1050 / (row * col)) for o, row, col in table if o)
+        want.append(g if pos * 1000 > neg * 50 else 0.0)
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, pos long, neg long")
+    got = df.select("i", toxicity._gain(F.col("pos"), F.col("neg"), 50, 1000).alias("g")).orderBy("i").collect()
+    assert [x.g for x in got] == pytest.approx(want)
