@@ -264,11 +264,13 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows of which each group of linked documents keeps one: that with the smallest id, or any of equal ones.
 
-    Documents without words are linked with nothing and all stay, as do rows without an id.
+    A row goes by its id and its text: where an id is repeated with another text, the other row stays if nothing is
+    linked with it. Documents without words are linked with nothing and all stay, as do rows without an id.
     """
     joined = materialize(jaccard_join(documents), "joined")
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = documents.join(_at_most(materialize(gone, "gone")), "doc_id", "left_anti")
+    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).distinct()
+    on = (documents["doc_id"] == F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_k"))
+    kept = documents.join(_at_most(materialize(gone, "gone")), on, "left_anti")
     # rows that repeat an id and a text: one stays
     again = documents.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     again = _at_most(materialize(again, "again"))

@@ -111,3 +111,12 @@ def test_gain_of_counts(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, pos long, neg long")
     got = df.select("i", toxicity._gain(F.col("pos"), F.col("neg"), 50, 1000).alias("g")).orderBy("i").collect()
     assert [x.g for x in got] == pytest.approx(want)
+
+
+def test_repeated_id_with_a_clean_text(spark):
+    """A row whose id is repeated goes only if its own text is linked."""
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (5, one + " end"), (5, other), (6, None), (6, one), (7, other[:60]), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each_group(docs).collect()), key=repr)
+    assert kept == sorted([(1, one), (5, other), (6, None), (7, other[:60]), (None, one)], key=repr)
