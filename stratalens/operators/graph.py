@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ from ..session import cut_lineage
 KIND_ORDER = ("launches", "sends_action", "registers_receiver", "uses", "extends")
 
 
-def ancestor_closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, depth) over edges (src, dst): every ancestor at its least depth, the node itself left out."""
+def ancestor_closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) over edges (src, dst): every ancestor at its least depth, the node itself left out.
+
+    `seen` ends cycles, so that the loop ends after as many rounds as the longest of the least depths.
+    """
     e = edges.select("src", "dst").filter("src <> dst").distinct()
     seen = cut_lineage(e.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")))
     front = seen
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         step = front.join(e, F.col("ancestor") == F.col("src")).select("node", F.col("dst").alias("ancestor")).filter("node <> ancestor").distinct()
         front = cut_lineage(step.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
