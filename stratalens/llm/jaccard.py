@@ -3,24 +3,28 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets with a Jaccard similarity of t or more
 share a token among the first n - ceil(t n) + 1 of each, under any one order of all tokens. Three orders are used:
 
-1. class, then rarity, then hash. Class 0 holds the lowest 3/8 of the hash space, so a prefix (a quarter of a set) lies in
-   class 0 for all but tiny sets, and only class 0 tokens need counting. The other tokens follow in plain hash order, in
-   their places in the sorted set. A set whose unshared class 0 tokens fill its prefix has no partner. This order makes
-   the candidates.
-2. ascending hash and 3. descending hash: a candidate pair must also share a token of its prefixes under both, which are
-   slices of the sorted sets, before the exact intersection is taken.
-
-A pair's prefixes are as short as its two sizes allow. All pairs of a large group are never made. Every token first
-pairs its documents with two leaders, one of them the document in whose prefix it stands first (that with the fewest rare
-tokens, which stands near a group's centre); the verified links give components. In each round after that, a token pairs the
-documents outside its largest component with one random member of it, until few are left. Last, each token pairs all
-documents of different components: the members of its largest component are not paired with each other, as their links
-cannot change the result. What is left out is a link inside a component. A join row is made only if the two sets' parity
-bitmaps differ in no more bits than linked sets can: each token flips one bit, so that the sets' symmetric difference has
-at least as many tokens as the bitmaps have differing bits. No link is lost by this.
-
-Equal texts form one class, found by a 64-bit hash; copies are set aside before shingling. Hash collisions (2^-64 a
-pair) are the only source of error.
+1. rarity among the sets that are left, then hash. It makes the candidates.
+2. ascending hash and 3. descending hash: their prefixes are the ends of the sorted set.
+
+A candidate pair must share prefix tokens under all three; that is settled on pairs of ids and the prefixes, and only the
+pairs that remain read whole sets. A pair's prefixes are as short as its two sizes allow.
+
+A set of which more than n - ceil(t n) tokens stand in no other set has no partner. Two rounds find such sets: the
+first counts the lowest 3/8 of the hash space over all documents, the second counts all tokens of the sets that
+are left. Counting goes by batches of documents (see `_counts`); texts are turned into sets in the first round, and again
+for those that are left, so that the sets of all documents are never stored.
+
+All pairs of a large group are never made. Every token first pairs its documents with two leaders, one of them the document
+in whose prefix it stands first (that with the fewest rare tokens, which stands near a group's centre); the verified links
+give components. In each round after that, a token pairs the documents outside its largest component with a few random
+members of it, until few are left. Last, each token pairs all documents of different components: the members of its
+largest component are not paired with each other, as their links cannot change the result. What is left out is a link
+inside a component. A join row is made only if the two sets' parity bitmaps differ in no more bits than linked sets can: each token flips
+one bit, so that the sets' symmetric difference has at least as many tokens as the bitmaps have differing bits. No link is lost by this.
+
+Equal texts form one class, found by a 128-bit hash; copies are set aside before shingling. A key (text or token) that holds more
+than a thousandth of all rows is joined by broadcast: there are fewer than a thousand of them, so no task gets a hot key.
+Hash collisions (2^-64 a pair of tokens, 2^-128 a pair of texts) are the only source of error.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing, themselves included;
 texts with fewer than five words have one shingle; rows that repeat an id are nodes of their own where their texts
@@ -29,27 +33,35 @@ differ; an empty table returns no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._counts import packed, packed_hashes, totals, unpacked, unpacked_hashes
 from ._shared import BROADCAST_IDS, materialize, release, ship, small_slices, texts
 
 SHINGLE = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-#: Class 0 of order 1: hashes below this.
+#: Hashes below this are counted in the first round.
 CLASS_0 = -(1 << 63) + 3 * (1 << 61)
+#: Tokens in a batch.
+BATCH_TOKENS = 1 << 21
 LEADERS = 2
-#: Most rounds of one more leader for what is left over; they go on while a left-over row has more than FEW partners.
-ROUNDS = 1
+#: Most rounds of more leaders for what is left over, and how many in each; they go on while a left-over row has more than FEW partners.
+ROUNDS = 4
+MEMBERS = 4
 FEW = 8
+#: A key with more than this share of all rows is hot; so there are fewer than this many.
+HOT_KEYS = 1000
 #: 64-bit words of a set's parity bitmap.
 BITMAP = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_TOP = np.uint64(1 << 63)
 
 
 class _Hashes(dict):
@@ -86,8 +98,9 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(h).view(np.int64))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-THRESHOLD * n // 100) + 1 if n else 0
+def prefix_length(n):
+    """Tokens in the prefix of a set of n tokens; of each, for an array."""
+    return n - -(-THRESHOLD * n // 100) + 1
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -101,14 +114,110 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
+_BATCH = "batch long, tokens long, ids binary, n binary, e binary, place binary, h binary, c binary"
+
+
+def _batched(docs: Iterable[tuple[bytes, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of _BATCH from (id, size of the set, sorted tokens that count) of each document; an id counts once in a batch.
+
+    ids, n: of each document; e: how many of its tokens count; place: of each of these among the batch's distinct tokens h;
+    c: how many documents have each of h.
+    """
+    seq, kept, held = 0, {}, 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal seq, held
+        tokens = np.concatenate([t for _, t in kept.values()]) if kept else np.zeros(0, np.int64)
+        h, place, c = np.unique(tokens.view(np.uint64) ^ _TOP, return_inverse=True, return_counts=True)
+        row = [(TaskContext.get().partitionId() << 32) + seq, len(h), b"".join(kept), packed(np.array([n for n, _ in kept.values()], np.int64)),
+               packed(np.array([len(t) for _, t in kept.values()], np.int64)), packed(place.astype(np.uint32)), packed_hashes(h), packed(c.astype(np.uint64))]
+        seq, held = seq + 1, 0
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], names=[x.split()[0] for x in _BATCH.split(", ")])
+
+    for key, n, tokens in docs:
+        if key not in kept:
+            kept[key] = (n, tokens)
+            held += len(tokens)
+            if held >= BATCH_TOKENS:
+                yield flush()
+    if kept:
+        yield flush()
+
+
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def docs() -> Iterator[tuple[bytes, int, np.ndarray]]:
+        for batch in small_slices(batches):
+            for k, t in zip(batch.column("k").to_pylist(), texts(batch), strict=True):
+                s = shingles(t)
+                yield k, len(s), s[: np.searchsorted(s, CLASS_0)].copy()
+
+    yield from _batched(docs())
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def docs() -> Iterator[tuple[bytes, int, np.ndarray]]:
+        for batch in small_slices(batches):
+            ids, sets = batch.column("id").to_pylist(), batch.column("s")
+            for i, x in enumerate(ids):
+                s = sets[i].values.to_numpy()
+                yield x.to_bytes(8, "little"), len(s), s
+
+    yield from _batched(docs())
+
+
+def _sums(batches: DataFrame) -> DataFrame:
+    n, tokens = batches.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    return totals(batches, ["c"], tokens, n)
+
+
+def _counted(encoded: pa.Table, back: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, n, own (the document of each token), place, and the number of documents that have each token."""
+    row = encoded.to_pylist()[0]
+    pieces = sorted(zip(back.column("part").to_pylist(), back.column("c").to_pylist(), strict=True))
+    df = np.concatenate([np.zeros(0, np.uint64), *[unpacked(c, "<u8") for _, c in pieces]])
+    n, e, place = unpacked(row["n"], "<i8"), unpacked(row["e"], "<i8"), unpacked(row["place"], "<u4").astype(np.int64)
+    return row["ids"], n, np.repeat(np.arange(len(n)), e), place, df
+
+
+def _partnerless(n: np.ndarray, own: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """True for the sets of which more tokens are in no other set than a linked one can have."""
+    return np.bincount(own[df == 1], minlength=len(n)) >= prefix_length(n)
+
+
+def _first_round(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
+    ids, n, own, place, df = _counted(encoded, back)
+    return pa.table({"k": pa.array([ids[i : i + 16] for i in range(0, len(ids), 16)], pa.binary()), "n": n, "left": (n > 0) & ~_partnerless(n, own, df[place])})
+
+
+def _second_round(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
+    """tok, id, n, r: the shared tokens in the prefixes of order 1, and their places there."""
+    ids, n, own, place, df = _counted(encoded, back)
+    h = (unpacked_hashes(encoded.column("h")[0].as_py()) ^ _TOP).view(np.int64)
+    often = df[place]
+    out = _partnerless(n, own, often)
+    order = np.lexsort((place, often, own))  # the places of h ascend with the tokens
+    own, place, often = own[order], place[order], often[order]
+    r = np.arange(len(own)) - np.searchsorted(own, own) + 1
+    m = (r <= prefix_length(n)[own]) & (often > 1) & ~out[own]
+    return pa.table({"tok": h[place[m]], "id": np.frombuffer(ids, "<i8")[own[m]], "n": n[own[m]].astype(np.int32), "r": r[m].astype(np.int32)})
+
+
+def _joined(batches: DataFrame, of, schema: str) -> DataFrame:
+    """`of` each batch and the counts of its tokens over all batches."""
+    cols = [c for c in batches.columns if c not in ("c", "tokens") and (c != "h" or of is _second_round)]
+    return batches.select(*cols).groupBy("batch").cogroup(_sums(batches).select("batch", "part", "c").groupBy("batch")).applyInArrow(of, schema)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, n, c, s, bits: a text's sorted set of n tokens, of which the first c are of class 0, and its bitmap."""
+    """k, n, s, lo, hi, bits: a text's sorted set of n tokens, its prefixes under orders 2 and 3, and its bitmap."""
     for batch in small_slices(batches):
         sets = [shingles(t) for t in texts(batch)]
-        early = [int(np.searchsorted(s, CLASS_0)) for s in sets]
+        p = [prefix_length(len(s)) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array(early, pa.int32()), _lists(sets), _lists([bitmap(s) for s in sets])],
-            names=["k", "n", "c", "s", "bits"])
+            [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists([s[:i] for s, i in zip(sets, p, strict=True)]),
+             _lists([s[len(s) - i :][::-1] for s, i in zip(sets, p, strict=True)]), _lists([bitmap(s) for s in sets])],
+            names=["k", "n", "s", "lo", "hi", "bits"])
 
 
 def _at_most(df: DataFrame) -> DataFrame:
@@ -116,28 +225,46 @@ def _at_most(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def _prefix(n: Column) -> Column:
-    return (n - F.ceil(n * THRESHOLD / 100) + 1).cast("int")
+def text_key(text: Column) -> Column:
+    """Known by 128 bits; null for null."""
+    return F.unhex(F.md5(text))
+
+
+def _by_key(rows: DataFrame, answers: DataFrame, key: str, many: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` with the one answer of their key. Keys with `many` above a share of `total`, fewer than HOT_KEYS of them, go by broadcast."""
+    hot = answers.filter(F.col(many) > total / HOT_KEYS)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(answers.filter(F.col(many) <= total / HOT_KEYS), key, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def _need(nx: Column, ny: Column) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil((nx + ny) * THRESHOLD / (100 + THRESHOLD))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    of = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    na, nb, sa, sb = (F.col(x) for x in ("na", "nb", "sa", "sb"))
-    both = both.filter(100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb))
-    for first in (True, False):  # orders 2 and 3
-        cut = lambda s, n: F.slice(s, F.lit(1) if first else n.cast("int") - _prefix(n) + 1, _prefix(n))  # noqa: B023, E731
-        both = both.filter(F.arrays_overlap(cut(sa, na), cut(sb, nb)))
-    return both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(
-        100 * F.col("i") >= THRESHOLD * (na + nb - F.col("i"))).select("a", "b")
+    """The pairs (a, b) of sets that are similar enough. Whole sets are read only for pairs that pass orders 2 and 3."""
+    na, nb = F.col("na"), F.col("nb")
+    for cols in (["n", "lo", "hi"], ["n", "s"]):
+        of = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in cols])  # noqa: B023, E731
+        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        if "s" in cols:
+            break
+        for c in ("lo", "hi"):
+            cut = lambda x, n: F.slice(x, F.lit(1), (n - _need(na, nb) + 1).cast("int"))
+            both = both.filter(F.arrays_overlap(cut(F.col(c + "a"), na), cut(F.col(c + "b"), nb)))
+        pairs = materialize(both.select("a", "b"), "pairs")
+    found = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(100 * F.col("i") >= THRESHOLD * (na + nb - F.col("i"))).select("a", "b")
+    out = materialize(found, "links")
+    release(pairs)
+    return out
 
 
 def _in_prefixes() -> Column:
-    """True if the token stands in the prefixes that sizes of x and y ask for: n - needed overlap + 1."""
-    nx, ny = F.col("x.n"), F.col("y.n")
-    need = F.ceil((nx + ny) * THRESHOLD / (100 + THRESHOLD))
-    return (F.col("x.r") <= nx - need + 1) & (F.col("y.r") <= ny - need + 1) & (100 * F.least(nx, ny) >= THRESHOLD * F.greatest(nx, ny))
+    """True if the token stands in the prefixes that sizes of x and y ask for, with room for the needed overlap behind it."""
+    nx, ny, rx, ry = F.col("x.n"), F.col("y.n"), F.col("x.r"), F.col("y.r")
+    need = _need(nx, ny)
+    return (rx <= nx - need + 1) & (ry <= ny - need + 1) & (100 * F.least(nx, ny) >= THRESHOLD * F.greatest(nx, ny))
 
 
 def _near_bitmaps() -> Column:
@@ -148,8 +275,8 @@ def _near_bitmaps() -> Column:
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """Distinct (a, b) of the rows (x, y) that may be linked."""
-    rows = rows.filter((F.col("x.k") != F.col("y.k")) & _in_prefixes())
-    return rows.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+    rows = rows.filter((F.col("x.id") != F.col("y.id")) & _in_prefixes())
+    return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,12 +305,12 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
 
 
-def _one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def _one_of_each(documents: DataFrame, classes: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """k and text of one copy of each text."""
-    spare = classes.join(classes.groupBy("k").agg(F.min("doc_id").alias("least")), "k").filter(~F.col("doc_id").eqNullSafe(F.col("least")))
-    spare = spare.select("k", "doc_id").distinct()
+    spare = _by_key(classes, least, "k", "m", total).filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select("k", "doc_id").distinct()
+    spare = materialize(spare, "spare")
     n = spare.limit(BROADCAST_IDS + 1).count()
-    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("k")).filter("text is not null")
+    keyed = documents.select("doc_id", "text", text_key(F.col("text")).alias("k")).filter("text is not null")
     if n == 0:
         return keyed.select("k", "text")
     s = spare.select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"))
@@ -191,72 +318,82 @@ def _one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(s) if n <= BROADCAST_IDS else s, on, "left_anti").select("k", "text")
 
 
-def jaccard_join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and k (the text's class; null for a null text) of every row."""
-    ship(documents.sparkSession)
-    rows_ = materialize(documents.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("k")), "classes")
-    classes = rows_.filter("k is not null")
-    # texts become sets once; all later steps read these
-    every = materialize(_one_of_each(documents, classes).mapInArrow(_sets, "k long, n long, c int, s array<long>, bits array<long>"), "sets")
-    # all that order 1 can put in a prefix; `at`: c of a class 0 token, the place in order 1 of any other
-    early = F.slice("s", F.lit(1), F.greatest(F.col("c"), _prefix(F.col("n"))))
-    tokens = every.select("k", F.posexplode(early).alias("i", "tok"), F.col("n").cast("int").alias("n"), "c")
-    late = F.col("tok") >= CLASS_0
-    tokens = tokens.select("k", "tok", "n", F.when(late, F.col("i") + 1).otherwise(F.col("c")).alias("at"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    # the class 0 tokens that are shared stand after those that are not, rarest first; df of a late token counts prefixes only
-    place = Window.partitionBy("k").orderBy(late, F.when(~late, F.col("df")), "tok")
-    unshared = F.col("at") - F.count(F.when(~late, F.lit(1))).over(Window.partitionBy("k"))
-    mine = materialize(tokens.join(shared, "tok"), "shared")
-    # r: the place in order 1
-    prefix = materialize(
-        mine.distinct().withColumn("r", F.when(late, F.col("at")).otherwise(F.row_number().over(place) + unshared).cast("int"))
-        .filter(F.col("r") <= _prefix(F.col("n"))).select("tok", "k", "n", "r"), "prefix")
-    release(mine)
-    # the sets of the classes that are left; rows that repeat an id and a text left theirs twice
-    sets = every.join(_at_most(materialize(prefix.select("k").distinct(), "wanted")), "k", "left_semi")
-    if every.groupBy("k").count().filter("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["k"])
-    bits = sets.select(F.col("k").alias("_b"), "bits")
-
-    # leaders: of every token the document that has it first, and the same few random members for all tokens of a group
-    row = F.struct("k", "n", "r")
-    ranked = [F.min(F.struct((F.xxhash64(F.lit(i), "k") if i else F.col("r").cast("long")).alias("h"), row.alias("y"))).alias(f"l{i}") for i in range(LEADERS)]
-    led = prefix.join(prefix.groupBy("tok").agg(*ranked), "tok").select(row.alias("x"), F.explode(F.array(*[F.col(f"l{i}.y") for i in range(LEADERS)])).alias("y"))
-    links = materialize(_linked(_pairs(led), sets), "links")
+def _links(prefix: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, root) of all linked sets, from the rows (tok, id, n, r) of order 1."""
+    total = prefix.count()
+    if not total:
+        return None
+    row = F.struct("id", "n", "r")
+    chosen = lambda seeds: [F.min(F.struct((F.xxhash64(F.lit(i), F.col("x.id")) if i else F.col("x.r").cast("long")).alias("h"), F.col("x"))).alias(f"l{i}") for i in seeds]
+    rows = prefix.select("tok", row.alias("x"))
+    leaders = rows.groupBy("tok").agg(F.count("*").alias("m"), *chosen(range(LEADERS)))
+    led = _by_key(rows, leaders, "tok", "m", total).select("x", F.explode(F.array(*[F.col(f"l{i}.x") for i in range(LEADERS)])).alias("y"))
+    links = _linked(_pairs(led), sets)
     root = components(links)
     for i in range(ROUNDS + 1):
-        placed = prefix.join(root, F.col("k") == F.col("node"), "left").select("tok", row.alias("x"), F.coalesce("root", "k").alias("c"))
-        sizes = placed.groupBy("tok", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(LEADERS + i), "x.k").alias("h"), "x")).alias("one"))
-        major = sizes.groupBy("tok").agg(F.max(F.struct("m", "c", "one")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("cs")).filter("cs > 1")
-        open_ = materialize(placed.join(major.select("tok", F.col("top.c").alias("major"), F.col("top.one.x").alias("one"), "all"), "tok"), "open")
+        placed = rows.join(root, F.col("x.id") == F.col("node"), "left").select("tok", "x", F.coalesce("root", "x.id").alias("c"))
+        seeds = range(LEADERS + i * MEMBERS, LEADERS + (i + 1) * MEMBERS)
+        sizes = placed.groupBy("tok", "c").agg(F.count("*").alias("m"), *chosen(seeds))
+        some = F.array(*[F.col(f"l{j}.x") for j in seeds])
+        major = sizes.groupBy("tok").agg(F.max(F.struct("m", "c", some.alias("some"))).alias("top"), F.sum("m").alias("all"), F.count("*").alias("cs")).filter("cs > 1")
+        major = materialize(major.select("tok", F.col("top.c").alias("major"), F.col("top.some").alias("some"), F.col("all")), "major")
+        open_ = materialize(_by_key(placed, major, "tok", "all", total), "open")
         minor = open_.filter("c <> major")
-        pairs, rows = minor.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count("*")).first()
-        if not rows:
+        pairs, left = minor.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count("*")).first()
+        if not left:
             break
-        if i < ROUNDS and pairs > FEW * rows:
-            tried = _pairs(minor.select("x", F.col("one").alias("y")))
-            more = materialize(_linked(tried, sets), "links")
+        last = i == ROUNDS or pairs <= FEW * left
+        if not last:
+            tried = minor.select("x", F.explode("some").alias("y"))
         else:
             # what is left: pairs of different components that share a token
-            seen = materialize(open_.select("tok", "x", "c", "major").join(bits, F.col("x.k") == F.col("_b")).drop("_b"), "bits")
+            bits = sets.select(F.col("id").alias("_b"), "bits")
+            seen = open_.select("tok", "x", "c", "major").join(bits, F.col("x.id") == F.col("_b")).drop("_b")
             other = seen.select("tok", F.col("x").alias("y"), F.col("c").alias("cy"), F.col("bits").alias("bits_y"))
-            cross = seen.filter("c <> major").join(other, "tok").filter(
-                (F.col("c") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.k") < F.col("y.k"))) & _in_prefixes() & _near_bitmaps())
-            more = materialize(_linked(_pairs(cross), sets), "links")
-            release(seen)
-        links = links.unionByName(more)
+            tried = seen.filter("c <> major").join(other, "tok").filter(
+                (F.col("c") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x.id") < F.col("y.id"))) & _in_prefixes() & _near_bitmaps())
+        more = _linked(_pairs(tried), sets)
+        links = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
         root = components(links)
-        release(open_)
-        if not (i < ROUNDS and pairs > FEW * rows):
+        release(open_, major)
+        if last:
             break
+    return root
 
-    size = every.groupBy("k").agg(F.min("n").alias("n_shingles"))
-    named = classes.groupBy("k").agg(F.min("doc_id").alias("d")).join(size, "k").join(root, F.col("k") == F.col("node"), "left")
-    named = materialize(named.select("k", "d", "n_shingles", F.coalesce("root", "k").alias("c")), "named")
-    ids = named.groupBy("c").agg(F.min("d").alias("component_id"))
-    by_class = named.join(ids, "c").select("k", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
-    found = classes.join(by_class, "k").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k")
+
+def jaccard_join(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and k (the text's class; null for a null text) of every row."""
+    ship(documents.sparkSession)
+    rows_ = materialize(documents.select("doc_id", text_key(F.col("text")).alias("k")), "classes")
+    classes = rows_.filter("k is not null")
+    total = rows_.count()
+    least = materialize(classes.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")), "least")
+    one = _one_of_each(documents, classes, least, total)
+
+    batches = materialize(one.mapInArrow(_text_batches, _BATCH), "batches")
+    sized = materialize(_joined(batches, _first_round, "k binary, n long, left boolean"), "sized")
+    release(batches)
+    wanted = _at_most(materialize(sized.filter("left").select("k").distinct(), "wanted"))
+    numbered = one.join(wanted, "k", "left_semi").mapInArrow(_sets, "k binary, n long, s array<long>, lo array<long>, hi array<long>, bits array<long>")
+    sets = materialize(numbered.withColumn("id", F.monotonically_increasing_id()), "sets")
+    ids = sets.groupBy("k").agg(F.min("id").alias("id"))
+    if sets.groupBy("k").count().filter("count > 1").limit(1).count():  # rows that repeat an id and a text left theirs twice
+        ids = materialize(ids, "ids")
+        sets = materialize(sets.join(ids.select("id"), "id", "left_semi"), "sets")
+    batches = materialize(sets.select("id", "s").mapInArrow(_set_batches, _BATCH), "batches")
+    prefix = materialize(_joined(batches, _second_round, "tok long, id long, n int, r int"), "prefix")
+    release(batches)
+    root = _links(prefix, sets)
+
+    named = least.join(sized.groupBy("k").agg(F.min("n").alias("n_shingles")), "k")
+    if root is not None:
+        linked = ids.join(root, F.col("id") == F.col("node")).select("k", "root").join(least.select("k", "least"), "k")
+        of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = named.join(linked.select("k", "root").join(of_root, "root").select("k", "component_id"), "k", "left")
+    else:
+        named = named.withColumn("component_id", F.lit(None).cast("long"))
+    named = materialize(named.select("k", "m", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "least")).alias("component_id")), "named")
+    found = _by_key(classes, named, "k", "m", total).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k")
     null = rows_.filter("k is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k")
     return found.unionByName(null)
 
@@ -269,7 +406,7 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     """
     joined = materialize(jaccard_join(documents), "joined")
     gone = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).distinct()
-    on = (documents["doc_id"] == F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_k"))
+    on = (documents["doc_id"] == F.col("_d")) & (text_key(documents["text"]) == F.col("_k"))
     kept = documents.join(_at_most(materialize(gone, "gone")), on, "left_anti")
     # rows that repeat an id and a text: one stays
     again = documents.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
