@@ -6,10 +6,13 @@ clamped sources are the first ones by cap / weight, so the final level is the gr
 (weights left) along that order. A source's documents are then all repeated the whole number of times, and a seeded
 random order of them is repeated once more until the target is met, the last one in part.
 
-Running sums are taken in 4096 hash blocks of each source, so that a hot source is spread over all tasks.
+Where that order is cut is found from the sums of 4096 hash blocks of each source and the rows of the one block in which the
+cut falls. Each source's cut is one row; compared with it in place, a document needs neither to be sorted nor moved.
 
-Defined cases: a null or empty text has no words and takes none; a null source is a source, the last in order; rows that
-repeat an id stand next to each other in the seeded order; an empty table returns no rows; other columns are ignored.
+Defined cases: a null or empty text has no words and takes none; a null source is a source, the last in order; rows without
+an id are placed by their text; rows that repeat an id stand next to each other in the seeded order, by size and text,
+and if the cut falls on rows that are alike in all that, they take equal parts; an empty table returns no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, words
+from ._shared import BROADCAST_IDS, materialize, words
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -35,48 +38,78 @@ def water_fill(sources: DataFrame, weight: Column, max_epochs: int = MAX_EPOCHS)
         "source", "source_size", "place", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _placed(documents: DataFrame, seed: str, names: dict[str, str]) -> DataFrame:
+    """The columns `names` by their new names, and each row's source, size and place in the seeded order."""
+    by = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
+    return documents.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("source").alias("_source"), F.size(words(F.col("text"))).cast("long").alias("_size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), by)).alias("_order"), F.xxhash64("text").alias("_tie"))
+
+
+def _cuts(placed: DataFrame, max_epochs: int) -> DataFrame:
+    """A row for each source: source_size, target, whole repetitions, and the place and part of the cut (null if there is none)."""
+    block = F.substring("_order", 1, 3).alias("_block")
+    sums = materialize(placed.groupBy("_source", block).agg(F.sum("_size").alias("_sum")), "mix-blocks")
+    targets = water_fill(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), F.col("place") % 3 + 1, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = targets.withColumn("_whole", whole).withColumn("_need", F.floor(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
+    targets = materialize(targets.select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_need"), "mix-targets")
+    upto = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("_end", F.sum("_sum").over(upto))
+    of = F.col("_source").eqNullSafe(F.col("_s"))
+    crossed = ends.join(targets, of).filter("_end > _need").groupBy("_s").agg(F.min(F.struct("_block", (F.col("_end") - F.col("_sum")).alias("start"))).alias("b"))
+    crossed = materialize(crossed.select("_s", F.col("b._block").alias("_b"), F.col("b.start").alias("_start")), "mix-crossed")
+    inside = placed.withColumn("_block", block).join(_small(crossed), of & (F.col("_block") == F.col("_b")))
+    alike = inside.groupBy("_source", "_start", "_order", "_size", "_tie").agg(F.count("*").alias("_g"))
+    run = Window.partitionBy("_source").orderBy("_order", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    alike = alike.withColumn("_end", F.col("_start") + F.sum(F.col("_size") * F.col("_g")).over(run))
+    place = F.struct("_order", "_size", "_tie").alias("place")
+    part = F.floor((F.col("_need") - F.col("_end") + F.col("_size") * F.col("_g")) / F.col("_g")).alias("part")
+    cut = alike.join(targets, of).filter("_end > _need").groupBy("_s").agg(F.min(F.struct(place, part)).alias("cut"))
+    cut = cut.select(F.col("_s").alias("_t"), F.col("cut.place").alias("_cut"), F.col("cut.part").alias("_cut_part"))
+    return materialize(targets.join(cut, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t", "_need"), "mix-cuts")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """`df`, sent to all tasks if its rows are few; it has one for each source."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
+def _taken(placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`placed` with its source's row, and _part: the words of the last copy."""
+    place = F.struct("_order", "_size", "_tie")
+    part = F.when(place < F.col("_cut"), F.col("_size")).when(place == F.col("_cut"), F.col("_cut_part")).otherwise(0)
+    return placed.join(_small(cuts), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_part", part.cast("long"))
+
+
 def mix(documents: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (whole), part (words of the last copy) and the `keep` columns."""
-    keep = keep or []
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialize(documents.select(
-        "doc_id", F.col("source").alias("_source"), F.size(words(F.col("text"))).cast("long").alias("_size"), order.alias("_order"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep]), "mix-sizes")
-    targets = water_fill(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), F.col("place") % 3 + 1, max_epochs)
-    block = F.substring("_order", 1, 3)
-    sums = sized.groupBy("_source", block.alias("_block")).agg(F.sum("_size").alias("_sum"))
-    offsets = sums.select(
-        "_source", "_block",
-        F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    # at most 4096 rows for each source
-    starts = offsets.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select(
-        F.col("place").alias("_place"), F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_offset", "source_size", "target")
-    inside = Window.partitionBy("_source", "_block").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("_block", block).withColumn("_run", F.sum("_size").over(inside)).join(
-        starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    need = F.floor(F.col("target") - F.col("_whole") * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), need - (F.col("_offset") + F.col("_run") - F.col("_size"))))
-    return placed.withColumn("_whole", whole.cast("long")).withColumn("_part", part.cast("long")).select(
+    kept = {c: f"_keep_{i}" for i, c in enumerate(keep or [])}
+    placed = materialize(_placed(documents, seed, {"doc_id": "doc_id"} | kept), "mix-sizes")
+    return _taken(placed, _cuts(placed, max_epochs)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") * F.col("_size") + F.col("_part")).alias("taken"),
-        F.col("_whole").alias("copies"), F.col("_part").alias("part"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+        F.col("_whole").alias("copies"), F.col("_part").alias("part"), *[F.col(n).alias(c) for c, n in kept.items()])
 
 
 def mixed_documents(documents: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; a part is the text's first words, by one space."""
+    """The documents themselves, each as often as the mix takes it; a part is the text's first words, by one space.
+
+    Texts are not shuffled: the cuts are found on sizes alone, and a second scan repeats the documents in place.
+    """
     cols = documents.columns
-    rest = [c for c in cols if c != "doc_id"]
-    taken = mix(documents, seed, max_epochs, rest)
-    copies = F.concat(
-        F.when(F.col("copies") > 0, F.array_repeat(F.col("size"), F.col("copies").cast("int"))).otherwise(F.expr("cast(array() as array<bigint>)")),
-        F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    out = taken.select("*", F.explode(copies).alias("_n"))
-    short = F.col("_n") < F.col("size")
-    text = F.when(short, F.array_join(F.slice(words(F.col("text")), 1, F.col("_n").cast("int")), " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    names = {c: f"_c{i}" for i, c in enumerate(cols)}
+    cuts = _cuts(materialize(_placed(documents, seed, {}), "mix-sizes"), max_epochs)
+    taken = _taken(_placed(documents, seed, names), cuts)
+    none = F.expr("cast(array() as array<bigint>)")
+    copies = F.concat(F.when(F.col("_whole") > 0, F.array_repeat(F.col("_size"), F.col("_whole").cast("int"))).otherwise(none),
+                      F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(none))
+    out = taken.select(*names.values(), "_size", F.explode(copies).alias("_n"))
+    short, text = F.col("_n") < F.col("_size"), names["text"]
+    out = out.withColumn(text, F.when(short, F.array_join(F.slice(words(F.col(text)), 1, F.col("_n").cast("int")), " ")).otherwise(F.col(text)))
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        n = names["n_chars"]
+        out = out.withColumn(n, F.when(short, F.length(text).cast(documents.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE_SQL = f"""
