@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs follow the data: quantile sketches per language and source, then a joined filter.
 
 Base counts are computed inside each row. Rows that pass the base rules feed one mergeable quantile sketch per
-(lang, source, metric): a log-linear histogram (values under 64 exact, above that 32 cells an octave, so a quantile is
-at most 1/32 too low), merged by adding cell counts. A group with fewer than `min_rows` rows uses the merged sketch of
-its language, then that of all rows. The fences are median + spread * (median - 10 % quantile) + slack, from the lower
-half only, so that up to half of a group may be junk without moving the fence that rejects it.
+(lang, source, metric): a log-linear histogram (values under 256 exact, above that 128 cells an octave, so a quantile is
+at most 1/128 too low), merged by adding cell counts. A metric's fences follow from three quantiles of the sketch alone:
+upper + spread * (upper - median) and, where it has a lower fence, lower - spread * (median - lower); no constant is added to
+them. A value is compared by its cell. The upper quantile says how many rows may lie beyond the bulk: a quarter for metrics
+of which junk has far more than clean text, a fiftieth for those that clean texts have, too. A quantile
+needs `rows_beyond` rows beyond it: a group with fewer uses the merged sketch of its language, then that of all rows.
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang or source is a group of its own;
 repeated rows each count and each return; an empty table returns no rows; other columns are ignored.
@@ -19,13 +21,14 @@ from pyspark.sql import Window
 from ._shared import let, materialize, words
 
 WINDOW = 5
-MIN_ROWS = 30
-#: metric -> (spread, slack, also a lower fence)
+#: Rows that must lie beyond a quantile.
+ROWS_BEYOND = 10
+#: metric -> (rows beyond the upper quantile in hundredths, spread, also a lower fence)
 FENCES = {
-    "symbols": (4, 100, False),  # symbols a thousand words
-    "word_length": (4, 200, True),  # hundredths of a code point a word
-    "dup_lines": (4, 300, False),  # repeated lines a thousand words
-    "repeats": (4, 150, False),  # words in repeated windows a thousand words
+    "symbols": (25, 3, False),  # symbols a thousand words
+    "word_length": (25, 8, True),  # hundredths of a code point a word
+    "dup_lines": (2, 3, False),  # repeated lines a thousand words
+    "repeats": (2, 2, False),  # words in repeated windows a thousand words
 }
 
 
@@ -85,8 +88,8 @@ def _metrics() -> Column:
 
 
 def sketch_cell(value: Column) -> Column:
-    """Lower edge of the sketch's cell: the 6 leading bits of a whole number."""
-    return let(F.greatest(F.length(F.bin(value)) - 6, F.lit(0)), lambda s: F.call_function("shiftleft", F.call_function("shiftright", value, s), s))
+    """Lower edge of the sketch's cell: the 8 leading bits of a whole number."""
+    return let(F.greatest(F.length(F.bin(value)) - 8, F.lit(0)), lambda s: F.call_function("shiftleft", F.call_function("shiftright", value, s), s))
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -95,36 +98,31 @@ def sketches(counted: DataFrame) -> DataFrame:
     return m.groupBy("lang", "source", F.col("m.metric").alias("metric"), sketch_cell(F.col("m.value")).alias("cell")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(lang, source) -> a fence pair for each metric, from the smallest merged sketch with enough rows."""
+def thresholds(sketch: DataFrame, rows_beyond: int = ROWS_BEYOND) -> DataFrame:
+    """(lang, source) -> the fences of each metric, from the smallest merged sketch with enough rows."""
     levels = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
     groups = sketch.select("lang", "source").distinct()
+    beyond = F.create_map(*[x for m, (share, _, _) in FENCES.items() for x in (F.lit(m), F.lit(share))])[F.col("metric")]
     for level, keys in levels.items():
         merged = sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
         # a sketch has at most a few hundred cells, so each window below is short
         w = Window.partitionBy(*keys, "metric").orderBy("cell")
         whole = Window.partitionBy(*keys, "metric")
-        ranked = merged.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(whole))
+        ranked = merged.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(whole)).withColumn("share", beyond)
+        least = lambda hundredths: F.min(F.when(F.col("upto") * 100 >= F.col("total") * hundredths, F.col("cell")))
         q = ranked.groupBy(*keys, "metric").agg(
-            F.max("total").alias("total"),
-            F.min(F.when(F.col("upto") * 10 >= F.col("total"), F.col("cell"))).alias("q10"),
-            F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("cell"))).alias("q50"),
-        )
-        pairs = q.groupBy(*keys).agg(
-            F.max("total").alias(f"rows_{level}"),
-            F.map_from_entries(F.collect_list(F.struct("metric", F.struct("q10", "q50")))).alias(f"q_{level}"),
-        )
+            (F.max("total") * F.max("share") >= 100 * rows_beyond).alias("enough"), least(F.col("share")).alias("lo"), least(F.lit(50)).alias("mid"),
+            least(100 - F.col("share")).alias("hi"))
+        pairs = q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("enough", "lo", "mid", "hi")))).alias(f"q_{level}"))
         groups = groups.crossJoin(F.broadcast(pairs)) if not keys else _null_safe(groups, pairs, keys)  # one row
-    enough = [F.when(F.col(f"rows_{x}") >= min_rows, F.col(f"q_{x}")) for x in levels]
-    out = groups.select("lang", "source", F.coalesce(*enough, F.col("q_all")).alias("q"))
     cols = []
-    for metric, (spread, slack, low) in FENCES.items():
-        q10, q50 = F.col("q")[metric]["q10"], F.col("q")[metric]["q50"]
-        width = (q50 - q10) * spread + slack
-        cols.append((q50 + width).alias(f"max_{metric}"))
+    for metric, (_, spread, low) in FENCES.items():
+        found = [F.col(f"q_{x}")[metric] for x in levels]
+        best = F.coalesce(*[F.when(f["enough"], f) for f in found], found[-1])
+        cols.append((best["hi"] + spread * (best["hi"] - best["mid"])).alias(f"max_{metric}"))
         if low:
-            cols.append((q50 - width).alias(f"min_{metric}"))
-    return out.select("lang", "source", *cols)
+            cols.append((best["lo"] - spread * (best["mid"] - best["lo"])).alias(f"min_{metric}"))
+    return groups.select("lang", "source", *cols)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -135,15 +133,15 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return left.join(r, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def quality_rules(documents: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_rules(documents: DataFrame, rows_beyond: int = ROWS_BEYOND) -> DataFrame:
     """Base counts, `base_failed` and `kept` of every row, with the fences that were applied."""
     counted = materialize(base_counts(documents), "quality")
-    fences = thresholds(sketches(counted), min_rows)
+    fences = thresholds(sketches(counted), rows_beyond)
     joined = _null_safe(counted, fences, ["lang", "source"])
     values = _metrics()
     fine = F.lit(True)
     for k, (metric, (_, _, low)) in enumerate(FENCES.items()):
-        value = values[k]["value"]
+        value = sketch_cell(values[k]["value"])
         fine = fine & (value <= F.col(f"max_{metric}"))
         if low:
             fine = fine & (value >= F.col(f"min_{metric}"))
