@@ -2,7 +2,8 @@
 
 Every historical version of a text is addressed by the SHA-256 of its UTF-8 bytes. The ledger holds one row for each
 (blob, rules version) that has been scanned, with its findings; a scan reads only blobs whose pair the ledger lacks,
-each once, however many paths (documents) hold it, and then joins the findings back to all of them.
+each once, however many paths (documents) hold it, and then joins the findings back to all of them. A ledger is kept
+as a Parquet table by `append_ledger` and read by `stored_ledger`.
 
 Defined cases: a null text is the empty blob; repeated rows each return; an empty table returns no rows; other
 columns are ignored. Spans are code points, end exclusive. Texts are scanned whole.
@@ -88,33 +89,62 @@ def _one_copy(documents: DataFrame, wanted: DataFrame, paths: DataFrame) -> Data
     return both.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
 
 
-def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): every path's blob, and the ledger with the pairs that this scan added.
-
-    `ledger`: rows of LEDGER from earlier scans; pairs of another rules version do not count as seen.
-    """
+def _scan_missing(documents: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, the ledger that was given or an empty one, what it lacks)."""
     spark = documents.sparkSession
     ship(spark)
     paths = materialize(addressed(documents), "paths")
-    seen = spark.createDataFrame([], LEDGER) if ledger is None else ledger
+    seen = empty_ledger(spark) if ledger is None else ledger
     # null ids can't be told apart by id: such rows are all read, and their blobs merge in the ledger
     first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
-        first = first.join(seen.filter(F.col("rules_version") == RULES_VERSION), "blob", "left_anti")
+        first = materialize(first.join(seen.filter(F.col("rules_version") == RULES_VERSION), "blob", "left_anti"), "unseen")
         todo = _one_copy(documents, first, paths).join(first.select("blob"), "blob", "left_semi")
     else:
         todo = _one_copy(documents, first, paths)
-    fresh = todo.mapInArrow(_scan, LEDGER)
     # a document id that two rows share, or no id, may bring a blob twice
-    found = materialize(fresh, "scanned").dropDuplicates(["blob", "rules_version"])
+    return paths, seen, materialize(todo.mapInArrow(_scan, LEDGER), "scanned").dropDuplicates(["blob", "rules_version"])
+
+
+def scan_unseen(documents: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger): every path's blob, and the ledger with the pairs that this scan added.
+
+    `ledger`: rows of LEDGER from earlier scans; pairs of another rules version do not count as seen.
+    """
+    paths, seen, found = _scan_missing(documents, ledger)
     return paths, found if ledger is None else seen.unionByName(found)
 
 
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at `path`; empty if nothing was stored there yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_ledger(documents: DataFrame, path: str) -> DataFrame:
+    """Scan what the ledger at `path` lacks, add that to it, and return the paths (doc_id, blob).
+
+    Only new pairs are written, as files of their own. A run that is repeated after a failure may add a pair twice; a
+    blob's findings under one rules version are always the same, and readers take one of them.
+    """
+    paths, _, fresh = _scan_missing(documents, stored_ledger(documents.sparkSession, path))
+    fresh.select(*[x.split()[0] for x in LEDGER.split(", ")]).write.mode("append").parquet(path)
+    return paths
+
+
+def findings(ledger: DataFrame) -> DataFrame:
+    """One row for each blob with findings under the present rules."""
+    hits = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != "")).drop("rules_version")
+    return hits.dropDuplicates(["blob"])
+
+
 def secret_spans(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id and the findings of its text, for every row."""
     paths, ledger = scan_unseen(documents, ledger)
     # blobs without findings need no row in the join
-    hits = ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != "")).drop("rules_version")
+    hits = findings(ledger)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return paths.join(hits, "blob", "left").select(
         "doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"),
@@ -139,7 +169,7 @@ def redact_secrets(documents: DataFrame, ledger: DataFrame | None = None) -> Dat
     """
     ship(documents.sparkSession)
     _, ledger = scan_unseen(documents, ledger)
-    hits = materialize(ledger.filter((F.col("rules_version") == RULES_VERSION) & (F.col("spans") != "")).select("blob", "spans"), "hits")
+    hits = materialize(findings(ledger).select("blob", "spans"), "hits")
     few = hits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     cols = documents.columns
     at = {c: f"c{i}" for i, c in enumerate(cols)}  # names of other columns must not clash
