@@ -2,8 +2,8 @@
 
 Equal texts form a group that no cut splits; groups stand in the order of their texts' SHA-256, so neighbours are
 unrelated and a shard is a fair sample. The smallest capacity under which `shards` contiguous runs hold all groups is
-found by binary search, each candidate checked by greedy filling. Only sums of blocks of groups (and the prefix sums of
-the few blocks in which a candidate's cuts fall) reach the driver; both are bounded by the block size, not by the data.
+found by binary search, each candidate checked by greedy filling. Only the sums of at most `MAX_BLOCKS` blocks of groups and the
+prefix sums of the few blocks in which a candidate's cuts fall reach the driver: some megabytes.
 Within that capacity a cut is placed where the rest would be shared out evenly, so that one giant group does not leave
 later shards empty.
 
@@ -24,11 +24,14 @@ from ._shared import materialize
 
 SHARDS = 40
 OVERHEAD = 16
+#: Groups in a block, at least; blocks grow rather than exceed their number.
 BLOCK_GROUPS = 16_384
+MAX_BLOCKS = 65_536
 #: Blocks whose prefix sums the driver keeps at a time.
-KEPT_BLOCKS = 64
+KEPT_BLOCKS = 48
 #: Rows of one group that are numbered in one task.
 NUMBERED_TOGETHER = 65_536
+HOT_GROUPS = 1000
 
 
 class _Ends:
@@ -92,14 +95,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, block_groups: in
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = materialize(documents.select(
-        "doc_id",
+        "doc_id", F.monotonically_increasing_id().alias("rid"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.unhex(F.lit(""))).otherwise(F.unhex(F.sha2("text", 256))).alias("grp"),
     ), "shard-base")
     groups = materialize(base.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
     n, total, largest = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    n_blocks = max(1, -(-n // block_groups))
+    n_blocks = min(MAX_BLOCKS, max(1, -(-n // block_groups)))
     lead = F.coalesce(F.conv(F.hex(F.substring("grp", 1, 4)), 16, 10).cast("long"), F.lit(0))
     blocked = groups.withColumn("block", F.call_function("shiftright", lead * n_blocks, F.lit(32)))
     sums = blocked.groupBy("block").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r"))
@@ -123,8 +126,14 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, block_groups: in
     sharded = placed.select("grp", "rows", "first_row", F.size(F.filter(edges, lambda c: c <= F.col("start"))).alias("shard"))
     first = sharded.groupBy("shard").agg(F.min("first_row").alias("shard_row"))  # one row for each shard
     sharded = sharded.join(F.broadcast(first), "shard")
-    rows = base.join(sharded, "grp").withColumn(
-        "part", F.expr(f"pmod(xxhash64(doc_id), rows div {NUMBERED_TOGETHER} + 1)"))
+    # fewer than HOT_GROUPS groups have more than this share of the rows: they go to the rows, which stay spread
+    share = F.col("rows") * HOT_GROUPS > groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    sharded = materialize(sharded, "shard-groups")
+    hot = F.broadcast(sharded.filter(share))
+    rows = base.join(F.broadcast(hot.select("grp")), "grp", "left_anti").join(sharded.filter(~share), "grp").unionByName(base.join(hot, "grp"))
+    # rows without an id come last in their group and are dealt out by row, as they are alike
+    parts_ = F.expr(f"rows div {NUMBERED_TOGETHER} + 1")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), parts_)).otherwise(parts_ + F.pmod(F.xxhash64("rid"), parts_)))
     single = rows.filter("rows = 1").withColumn("rank", F.lit(0))
     several = rows.filter("rows > 1")
     parts = several.groupBy("grp", "part").agg(F.count("*").alias("m"))
