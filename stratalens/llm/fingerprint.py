@@ -184,8 +184,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     ranged = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(*order).sortWithinPartitions(*order)
     done = materialize(ranged.mapInArrow(_ranges, f"{OUT}, part int, first string, last string"), "fingerprints")
-    # one row for each range
+    # ranges may be empty: each one's successor is settled on their numbers alone, and texts are joined to it
+    ranges = materialize(done.filter("part is not null").select("part", "doc_id", "first", "last"), "ranges")
     w = Window.orderBy("part")
-    edges = done.filter("part is not null").select(
-        "doc_id", "last", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("nxt"))
+    after = ranges.select("part").withColumn("following", F.coalesce(
+        F.lead("part").over(w), F.first("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    firsts = ranges.select(F.col("part").alias("following"), F.col("first").alias("nxt"))
+    edges = ranges.select("part", "doc_id", "last").join(after, "part").join(firsts, "following").select("doc_id", "last", "nxt")
     return done.filter("part is null").select(*_NAMES).unionByName(edges.mapInArrow(_edges, OUT))
