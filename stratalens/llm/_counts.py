@@ -10,7 +10,7 @@ many documents is one number in each batch's message, so no hash is hot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,21 @@ def unpacked_hashes(b: bytes) -> np.ndarray:
     return np.cumsum(unpacked(b, "<u8"), dtype=_U)
 
 
-def _split(n: int, step: int, names: list[str]):
+Message = tuple[np.ndarray, list[np.ndarray]]
+
+
+def _message(names: list[str]) -> Callable[[dict], Message]:
+    return lambda row: (unpacked_hashes(row["h"]), [unpacked(row[c], "<u8") for c in names])
+
+
+def _split(n: int, step: int, names: list[str], message: Callable[[dict], Message]):
     """One row for each range of `step` buckets in which a batch has hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for row in rb.to_pylist():
-                h = unpacked_hashes(row["h"])
-                counts = [unpacked(row[c], "<u8") for c in names]
+            for i in range(rb.num_rows):
+                row = rb.slice(i, 1).to_pylist()[0]
+                h, counts = message(row)
                 part = ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64) // step
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 pieces = [(int(part[a]), row["batch"], packed_hashes(h[a:b]), *[packed(c[a:b]) for c in counts]) for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True)]
@@ -84,28 +91,29 @@ def _answers(rows: list[dict], names: list[str], sums: list[np.ndarray], places:
         **{c: pa.array([packed(s[p].astype(np.uint64)) for p in places], pa.binary()) for c, s in zip(names, sums, strict=True)}})
 
 
-def totals(batches: DataFrame, names: list[str], hashes: int, n_batches: int) -> DataFrame:
+def totals(batches: DataFrame, names: list[str], hashes: int, n_batches: int, message: Callable[[dict], Message] | None = None) -> DataFrame:
     """batch, part, kinds and the sums of `names`, which put together by part follow the order of the batch's hashes.
 
-    `batches`: batch, h (packed_hashes) and the counts `names` (packed uint64); `hashes`: their number over all batches.
-    `kinds` adds up to the number of distinct hashes that have a count above 0.
+    `batches`: batch, h (packed_hashes) and the counts `names` (packed uint64), or whatever `message` makes sorted distinct
+    hashes and counts (uint64) from; `hashes`: about their number over all batches.
+    `kinds` adds up to the number of distinct hashes below 2^63 that have a count above 0.
     """
     n, step = max(1, -(-hashes // BUCKET)), 1
     while step * FAN < n:
         step *= FAN
-    return _level(batches, names, n, step, n_batches)
+    return _level(batches if message else batches.select("batch", "h", *names), names, n, step, n_batches, message or _message(names))
 
 
-def _level(batches: DataFrame, names: list[str], n: int, step: int, n_batches: int) -> DataFrame:
+def _level(batches: DataFrame, names: list[str], n: int, step: int, n_batches: int, message: Callable[[dict], Message]) -> DataFrame:
     binary = lambda xs: "".join(f", {c} binary" for c in xs)
-    sent = batches.select("batch", "h", *names).mapInArrow(_split(n, step, names), f"part long, batch long{binary(['h', *names])}")
+    sent = batches.mapInArrow(_split(n, step, names, message), f"part long, batch long{binary(['h', *names])}")
     back = f"batch long, part long, kinds long{binary(names)}"
     if step == 1:
 
         def add(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            _, sums, places = _summed(rows, names)
-            return _answers(rows, names, sums, places, int((sum(sums) > 0).sum()))
+            u, sums, places = _summed(rows, names)
+            return _answers(rows, names, sums, places, int(((sum(sums) > 0) & (u < _U(1 << 63))).sum()))
 
         return sent.groupBy("part").applyInArrow(add, back)
     groups = max(1, -(-n_batches // FAN))
@@ -123,6 +131,6 @@ def _level(batches: DataFrame, names: list[str], n: int, step: int, n_batches: i
         return _answers(rows, names, sums, places, sum(r["kinds"] for r in above))
 
     merged = materialize(sent.groupBy("part", "grp").applyInArrow(merge, f"batch long{binary(['h', *names])}"), "merged")
-    above = _level(merged, names, n, step // FAN, groups).select(
+    above = _level(merged, names, n, step // FAN, groups, _message(names)).select(
         F.expr(f"batch div {groups}").alias("up"), F.expr(f"batch % {groups}").alias("grp"), "part", "kinds", *names)
     return sent.groupBy("part", "grp").cogroup(above.groupBy("up", "grp")).applyInArrow(give_back, back)

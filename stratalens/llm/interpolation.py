@@ -5,11 +5,10 @@ the bucket of the context's frequency (powers of two) and are learnt by expectat
 part of the training documents are predicted from counts of the rest; the counts of both then make the final model.
 
 Counting is by batches, so that no row for each token is ever shuffled. A batch of documents is written once as an
-encoded row: its distinct words' hashes and each token's place among them. Each batch sends the sorted distinct hashes
-of its words and bigrams, with its counts, to hash-range buckets; a bucket adds up the batches' counts and returns them to
-each batch in the order sent. Joined with its batch again, that gives every token's counts. All of it grows with the
-corpus and is spread over batches and buckets; only the buckets' histogram of quantised estimates, bounded by its bins,
-reaches the driver for the learning of weights. Words and bigrams are known by 64-bit hashes.
+encoded row: its distinct words' hashes and each token's place among them. Each batch learns the counts of its distinct words and
+bigrams over all batches, by a fixed fan-out (see `_counts`). Joined with its batch again, that gives every token's
+counts. All of it grows with the corpus and is spread over batches and ranges of hashes; only the histogram of
+quantised estimates, bounded by its bins, reaches the driver for the learning of weights. Words and bigrams are known by 63-bit hashes.
 
 Defined cases: a null or empty text is the end token alone; the first token's context is the end token; rows without an
 id are training rows by the hash of the empty text; rows that repeat an id are scored each; an empty table returns no
@@ -24,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._counts import packed, totals, unpacked
 from ._shared import materialize, ship, small_slices, texts
 
-#: Characters of text in a batch, and batches to a bucket of counts.
+#: Characters of text in a batch.
 BATCH_CHARS = 8_000_000
-BATCHES_A_BUCKET = 4
 BUCKETS_OF_CONTEXT = 24
 #: Steps of an octave to which estimates are rounded for the learning of weights.
 STEPS = 8
@@ -44,19 +42,6 @@ _END = 0x7F4A7C15D6E8FEB8
 _U = np.uint64
 
 
-def _z(a: np.ndarray) -> bytes:
-    """Compressed array; byte planes put the like bytes of numbers side by side."""
-    a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
-
-
-def _a(b: bytes, dtype: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
-
-
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -74,7 +59,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of each document: 1 is held out, 4 is deleted from the counts that weights are learnt on
         part = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in ids], np.uint8)
         known = np.array([i is not None for i in ids], np.int64)
-        row = [(TaskContext.get().partitionId() << 32) + seq, _z(np.array([i or 0 for i in ids], np.int64)) , _z(words), _z(np.concatenate(tokens).astype(np.uint32)), _z(ends), _z(np.where(known == 1, part, part + 8).astype(np.uint8))]
+        row = [(TaskContext.get().partitionId() << 32) + seq, packed(np.array([i or 0 for i in ids], np.int64)) , packed(words), packed(np.concatenate(tokens).astype(np.uint32)), packed(ends), packed(np.where(known == 1, part, part + 8).astype(np.uint8))]
         seq, chars = seq + 1, 0
         ids.clear(), place.clear(), tokens.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(row)], names=["batch", "ids", "words", "tokens", "ends", "part"])
@@ -101,9 +86,9 @@ class _Batch:
 
     def __init__(self, row: dict):
         self.key = row["batch"]
-        self.ids, self.words = _a(row["ids"], "<i8"), _a(row["words"], "<u8")
-        self.tokens, self.ends = _a(row["tokens"], "<u4").astype(np.int64), _a(row["ends"], "<i8")
-        part = _a(row["part"], "u1")
+        self.ids, self.words = unpacked(row["ids"], "<i8"), unpacked(row["words"], "<u8")
+        self.tokens, self.ends = unpacked(row["tokens"], "<u4").astype(np.int64), unpacked(row["ends"], "<i8")
+        part = unpacked(row["part"], "u1")
         self.null, self.part = part >= 8, part % 8
         self.lengths = np.diff(self.ends, prepend=0)
         before = np.concatenate([[0], self.tokens[:-1]])
@@ -116,69 +101,41 @@ class _Batch:
         self.pair_hash = h ^ (h >> _U(27)) * _U(0x94D049BB133111EB)
         self.v, self.w = v, w
 
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of words (below 2^63) and bigrams in one sorted list, and the place there of each word and bigram."""
+        h = np.concatenate([self.words >> _U(1), self.pair_hash >> _U(1) | _U(1 << 63)])
+        found, at = np.unique(h, return_inverse=True)
+        return found, at.reshape(-1)
+
     def counts(self, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(kept, deleted) training counts of n kinds."""
         kept = np.bincount(of[(self.own != 1) & (self.own != 4)], minlength=n)
         return kept, np.bincount(of[self.own == 4], minlength=n)
 
 
-def _send(n_buckets: int):
-    """Words' and bigrams' counts of each batch, sorted by hash, cut into hash ranges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for row in rb.to_pylist():
-                b = _Batch(row)
-                for kind, (h, of) in enumerate(((b.words, b.tokens), (b.pair_hash, b.pair_of))):
-                    order = np.argsort(h, kind="stable")
-                    kept, deleted = (c[order] for c in b.counts(of, len(h)))
-                    s = h[order]
-                    cuts = np.searchsorted((s >> _U(32)) * _U(n_buckets) >> _U(32), np.arange(n_buckets + 1, dtype=_U))
-                    rows = []
-                    for k in range(n_buckets):
-                        x = slice(cuts[k], cuts[k + 1])
-                        rows.append((k, kind, b.key, _z(np.diff(s[x], prepend=_U(0))), _z(kept[x].astype(np.uint32)), _z(deleted[x].astype(np.uint32))))
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                        names=["bucket", "kind", "batch", "h", "kept", "deleted"])
+def _message(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A batch's words and bigrams with their counts."""
+    b = _Batch(row)
+    h, at = b.kinds()
+    counts = zip(b.counts(b.tokens, len(b.words)), b.counts(b.pair_of, len(b.pair)), strict=True)
+    return h, [np.bincount(at, np.concatenate(x), len(h)).astype(np.uint64) for x in counts]
 
-    return run
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: an upper bound of its words and bigrams, and its training tokens, kept and deleted."""
+    for rb in batches:
+        for row in rb.to_pylist():
+            part = np.repeat(unpacked(row["part"], "u1") % 8, np.diff(unpacked(row["ends"], "<i8"), prepend=0))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (len(part), ((part != 1) & (part != 4)).sum(), (part == 4).sum())],
+                                             names=["hashes", "n_kept", "n_deleted"])
 
 
-_SENT = "bucket long, kind int, batch long, h binary, kept binary, deleted binary"
-_BACK = "batch long, kind int, bucket long, kept binary, total binary, n_kept long, n_total long, n_kinds long"
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """One bucket of one kind: each batch gets its hashes' counts over all batches."""
-    rows = table.to_pylist()
-    hs = [np.cumsum(_a(r["h"], "<u8"), dtype=_U) for r in rows]
-    kept, deleted = ([_a(r[c], "<u4") for r in rows] for c in ("kept", "deleted"))
-    u, inv = np.unique(np.concatenate(hs), return_inverse=True)
-    k = np.bincount(inv, np.concatenate(kept), len(u)).astype(np.int64)
-    t = k + np.bincount(inv, np.concatenate(deleted), len(u)).astype(np.int64)
-    ends = np.cumsum([0, *map(len, hs)])
-    at = [inv[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    once = lambda i, v: v if i == 0 else 0  # noqa: E731  # totals of a bucket stand in one of its rows
-    return pa.table({
-        "batch": pa.array([r["batch"] for r in rows], pa.int64()), "kind": pa.array([r["kind"] for r in rows], pa.int32()),
-        "bucket": pa.array([r["bucket"] for r in rows], pa.int64()),
-        "kept": pa.array([_z(k[i]) for i in at], pa.binary()), "total": pa.array([_z(t[i]) for i in at], pa.binary()),
-        "n_kept": pa.array([once(i, int(k.sum())) for i in range(len(rows))], pa.int64()),
-        "n_total": pa.array([once(i, int(t.sum())) for i in range(len(rows))], pa.int64()),
-        "n_kinds": pa.array([once(i, int((t > 0).sum())) for i in range(len(rows))], pa.int64())})
-
-
-def _known(b: _Batch, back: list[dict], column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the batch's words and bigrams."""
-    out = []
-    for kind, h in enumerate((b.words, b.pair_hash)):
-        parts = [_a(r[column], "<i8") for r in sorted((r for r in back if r["kind"] == kind), key=lambda r: r["bucket"])]
-        found = np.zeros(len(h), np.int64)
-        found[np.argsort(h, kind="stable")] = np.concatenate(parts)
-        out.append(found)
-    return out[0], out[1]
+def _known(b: _Batch, back: list[dict], columns: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the batch's words and bigrams, of all `columns` together."""
+    _, at = b.kinds()
+    rows = sorted(back, key=lambda r: r["part"])
+    found = sum(np.concatenate([unpacked(r[c], "<u8") for r in rows]).astype(np.int64) for c in columns)[at]
+    return found[: len(b.words)], found[len(b.words) :]
 
 
 def _context_bucket(c: np.ndarray) -> np.ndarray:
@@ -196,7 +153,7 @@ def _histogram(n: int):
 
     def run(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
         b = _Batch(encoded.to_pylist()[0])
-        words, pairs = _known(b, back.to_pylist(), "kept")
+        words, pairs = _known(b, back.to_pylist(), ("kept",))
         ctx, f2, f1 = _estimates(b, words, pairs, n)
         often = np.bincount(b.pair_of[b.own == 4], minlength=len(b.pair))
         q = lambda f: np.where(f > 0, np.round(np.log2(np.maximum(f, 1e-300)) * STEPS), -9999).astype(np.int64)
@@ -230,7 +187,7 @@ def learn_weights(rows: list[tuple[int, int, int, int]], vocabulary: int) -> np.
 def _scores(n: int, vocabulary: int, weights: np.ndarray):
     def run(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
         b = _Batch(encoded.to_pylist()[0])
-        words, pairs = _known(b, back.to_pylist(), "total")
+        words, pairs = _known(b, back.to_pylist(), ("kept", "deleted"))
         ctx, f2, f1 = _estimates(b, words, pairs, n)
         w = weights[ctx]
         logp = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (vocabulary + 1))
@@ -250,11 +207,10 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     encoded = materialize(documents.select("doc_id", "text").mapInArrow(_encode, _ENCODED), "lm-batches")
-    n_buckets = max(1, -(-encoded.count() // BATCHES_A_BUCKET))
-    sent = encoded.mapInArrow(_send(n_buckets), _SENT)
-    back = materialize(sent.groupBy("bucket", "kind").applyInArrow(_add_up, _BACK), "lm-counts")
-    sums = back.filter("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_kept", "n_total", "n_kinds")]).first()
-    n_kept, n, vocabulary = map(int, sums)
+    n_batches, hashes, n_kept, n_deleted = encoded.select("part", "ends").mapInArrow(_sizes, "hashes long, n_kept long, n_deleted long").agg(
+        F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("hashes", "n_kept", "n_deleted")]).first()
+    back = materialize(totals(encoded, ["kept", "deleted"], hashes, n_batches, _message), "lm-counts")
+    n, vocabulary = n_kept + n_deleted, int(back.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
     both = lambda f, schema: encoded.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(f, schema)
     # at most BUCKETS_OF_CONTEXT x (bins of an estimate) ^ 2 rows; in practice some thousands
     hist = both(_histogram(n_kept), "ctx long, q2 long, q1 long, m long").groupBy("ctx", "q2", "q1").agg(F.sum("m").alias("m")).orderBy("ctx", "q2", "q1")

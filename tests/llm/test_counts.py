@@ -29,7 +29,7 @@ def test_totals(spark, monkeypatch, fan, bucket):
     for b, h, _ in batches:
         back = np.concatenate([_counts.unpacked(x.c, "<u8") for x in sorted((x for x in got if x.batch == b), key=lambda x: x.part)])
         assert back.tolist() == [total[x] for x in h]
-    assert sum(x.kinds for x in got) == sum(v > 0 for v in total.values())
+    assert sum(x.kinds for x in got) == sum(v > 0 for h, v in total.items() if h < 1 << 63)
 
 
 def test_several_near_copy_groups(spark, monkeypatch):
