@@ -371,8 +371,8 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score below the threshold."""
-    plain = documents.select(*documents.columns)
-    renamed = plain.withColumnRenamed("score", "_score") if "score" in plain.columns else plain
-    kept = score(renamed, train(documents, labels)).filter(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept
+    """The rows that score below the threshold; the other columns may have any names."""
+    cols = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    named = documents.select(*[F.col(f"`{c}`").alias("text" if c == "text" else n) for c, n in cols.items()])
+    kept = score(named, train(documents, labels)).filter(F.col("score") < THRESHOLD)
+    return kept.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in cols.items()])
