@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_IDS, hash_bucket, materialize, ship, small_slices, texts
+from ._shared import hash_bucket, materialize, ship, small_slices, texts
 
 THRESHOLD = 0.3
 LABELLED_ROWS = 50_000
 FEATURES = 4_096
 #: Least G statistic of a feature.
 MIN_GAIN = 24.0
+#: Most features that are sent to all tasks for counting; more are joined.
+SENT_FEATURES = 200_000
 MAX_DECODED = 32
 #: Letters of the longest word that is looked for where words have no bounds.
 LONGEST = 14
@@ -106,8 +109,7 @@ class CharModel:
         return list(dict.fromkeys(w for _, w in found))[:best]
 
 
-def _run_of_three(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+_THREE = re.compile(r"(.)\1\1", re.DOTALL).search
 
 
 class Restorer:
@@ -125,18 +127,21 @@ class Restorer:
                 w = w.rstrip("!$")
         if not w:
             return ()
-        if w.isalpha() and not _run_of_three(w):
+        if w.isalpha() and not _THREE(w):
             return (w,)
         return (*self.model.decode(w),) if len(w) <= MAX_DECODED else (w, *sorted(self._unbounded(w)))
 
     def words(self, text: str) -> set[str]:
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
-        tokens = text.split()
+        tokens = text.lower().split()
         distinct = set(tokens)
         kept = self.kept
         out = self.spelled(tokens, distinct)
         for t in distinct:
+            if t.isalpha() and not _THREE(t):
+                out.add(t)
+                continue
             found = kept.get(t)
             if found is None:
                 found = self.token(t)
@@ -191,29 +196,66 @@ def features(words: Iterable[str]) -> Iterator[str]:
                 yield w[:n] + "*"
 
 
+class _Trigrams:
+    """Counts the character trigrams of words, by array operations over whole texts.
+
+    A word counts if it is letters alone once the signs of _STRIPPED are taken from its ends.
+    """
+
+    def __init__(self) -> None:
+        # class of each code point: 0 other, 1 white space, 2 stripped sign, 3 + place of a letter
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.kind[[c for c in range(0x3001) if chr(c).isspace()]] = 1
+        self.kind[[ord(c) for c in _STRIPPED]] = 2
+        self.kind[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS)) + 3
+        self.side = len(LETTERS) + 2
+        self.counts = np.zeros(self.side**3, np.int64)
+
+    def add(self, found: list[str]) -> None:
+        if not found:
+            return
+        k = self.kind[np.frombuffer(f" {' '.join(found)} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letter = k >= 3
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        start, end = edge[::2], edge[1::2]  # of each run of letters
+        spaces = np.flatnonzero(k == 1)
+        in_word = np.concatenate([[0], np.cumsum((k == 0) | letter)])
+        before, after = spaces[np.searchsorted(spaces, start) - 1], spaces[np.searchsorted(spaces, end)]
+        fine = (in_word[start] == in_word[before]) & (in_word[end] == in_word[after])
+        start, end = start[fine], end[fine]
+        lengths = end - start
+        if not len(lengths):
+            return
+        # each word with two marks before it and one behind, one after the other
+        at = np.cumsum(lengths + 3) - (lengths + 3)
+        chars = np.full(int((lengths + 3).sum()), self.side - 2, np.int64)
+        shift = np.repeat(at + 2 - start, lengths)
+        source = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(start, lengths)
+        chars[source + shift] = k[source].astype(np.int64) - 3
+        chars[at + lengths + 2] = self.side - 1
+        codes = (chars[:-2] * self.side + chars[1:-1]) * self.side + chars[2:]
+        whole = np.ones(len(chars), bool)
+        whole[at], whole[at + 1] = False, False  # trigrams end in a letter or in the mark behind
+        self.counts += np.bincount(codes[whole[2:]], minlength=len(self.counts))
+
+    def rows(self) -> pa.RecordBatch:
+        marks = LETTERS + "^$"
+        at = np.flatnonzero(self.counts)
+        grams = [marks[c // self.side**2] + marks[c // self.side % self.side] + marks[c % self.side] for c in at.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(self.counts[at], pa.int64())], names=["g", "n"])
+
+
+_STRIPPED = ".,;:?!\"'"
+
+
 def count_trigrams(documents: DataFrame) -> dict[str, int]:
     """Character trigrams of all documents' words; at most (letters + 2) ^ 3 of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-
-        def fold() -> None:
-            for w, n in words.items():
-                w = w.strip(".,;:?!\"'")
-                if w and _ALPHABET.issuperset(w):
-                    w = f"^^{w}$"
-                    for i in range(len(w) - 2):
-                        grams[w[i : i + 3]] += n
-            words.clear()
-
+        grams = _Trigrams()
         for batch in small_slices(batches):
-            for t in texts(batch):
-                words.update(t.lower().split())
-            if len(words) > CACHE_WORDS:
-                fold()
-        fold()
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
+            grams.add(texts(batch))
+        yield grams.rows()
 
     rows = documents.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     return {r.g: r.n for r in rows.collect()}
@@ -226,12 +268,13 @@ class ToxicModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def _fit(rows: list[tuple[list[int], int, int]], n: int, steps: int = 400, l2: float = 0.05) -> tuple[float, np.ndarray]:
-    """Logistic regression over presences, by gradient steps with momentum and one step size for each weight."""
-    own = np.repeat(np.arange(len(rows)), [len(x) for x, _, _ in rows])
-    idx = np.concatenate([np.array(x, np.int64) for x, _, _ in rows]) if len(own) else np.zeros(0, np.int64)
-    y = np.array([v for _, v, _ in rows], float)
-    times = np.array([m for _, _, m in rows], float)
+def _fit(idx: np.ndarray, lengths: np.ndarray, y: np.ndarray, times: np.ndarray, n: int, steps: int = 400, l2: float = 0.05) -> tuple[float, np.ndarray]:
+    """Logistic regression over presences, by gradient steps with momentum and one step size for each weight.
+
+    Row i has `lengths[i]` features in a row of `idx`, the label y[i], and stands for times[i] documents.
+    """
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    y, times = y.astype(float), times.astype(float)
     w, b = np.zeros(n), math.log((times @ y + 1) / (times @ (1 - y) + 1))
     scale = 4 / (np.bincount(idx, times[own], minlength=n) + l2)
     vel, vel_b = np.zeros(n), 0.0
@@ -266,14 +309,18 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     if not n_pos:
         return ToxicModel(trigrams, prior)
 
-    def count(y: int) -> DataFrame:
-        """f, n: rows with a feature, in parts."""
+    def count(y: int, among: frozenset[str] | None = None) -> DataFrame:
+        """f, n: rows with a feature, in parts; only features in `among`, if it is given."""
+        begin = None if among is None else _firsts(among)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[str] = Counter()
             for batch in small_slices(batches):
                 for ws in batch.column("ws").to_pylist():
-                    seen.update(set(features(ws)))
+                    if among is None:
+                        seen.update(set(features(ws)))
+                    else:
+                        seen.update({f for w in ws if w[:3] in begin for f in features((w,)) if f in among})
                 if len(seen) > 4 * CACHE_WORDS:
                     yield flush(seen)
             yield flush(seen)
@@ -287,25 +334,34 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
 
     # every feature of three toxic rows or more is weighed; only the best reach the driver
     pos = materialize(count(1).groupBy("f").agg(F.sum("n").alias("pos")).filter("pos >= 3"), "toxic-features")
-    few = pos.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    neg = count(0).join(F.broadcast(pos) if few else pos, "f", "left_semi").groupBy("f").agg(F.sum("n").alias("neg"))
+    if pos.limit(SENT_FEATURES + 1).count() <= SENT_FEATURES:
+        others = count(0, frozenset(pos.select("f").toArrow().column("f").to_pylist()))
+    else:
+        others = count(0).join(pos, "f", "left_semi")
+    neg = others.groupBy("f").agg(F.sum("n").alias("neg"))
     both = pos.join(neg, "f", "left").select("f", "pos", F.coalesce("neg", F.lit(0)).alias("neg"))
     gains = both.withColumn("gain", _gain(F.col("pos"), F.col("neg"), n_pos, n - n_pos)).filter(F.col("gain") > MIN_GAIN)
     chosen = [r.f for r in gains.orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
+    firsts = _firsts(chosen)
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            rows = [sorted({place[f] for f in features(ws) if f in place}) for ws in batch.column("ws").to_pylist()]
+            rows = [sorted({place[f] for w in ws if w[:3] in firsts for f in features((w,)) if f in place}) for ws in batch.column("ws").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int64()))], names=["y", "x"])
 
     # equal rows are one row with a count; most have no feature at all
-    same = labelled.mapInArrow(represent, "y int, x array<long>").groupBy("y", "x").agg(F.count("*").alias("n"))
-    rows = sorted((list(r.x), r.y, r.n) for r in same.collect())
-    bias, weights = _fit(rows, len(chosen))
+    same = labelled.mapInArrow(represent, "y int, x array<long>").groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").toArrow()
+    x = same.column("x").combine_chunks()
+    bias, weights = _fit(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()), same.column("y").to_numpy(), same.column("n").to_numpy(), len(chosen))
     return ToxicModel(trigrams, bias, {f: float(weights[i]) for f, i in place.items() if abs(weights[i]) > 1e-6})
 
 
+def _firsts(found: Iterable[str]) -> frozenset[str]:
+    """The first three letters of features: a word has one of them only if it begins so."""
+    return frozenset(f[:3] for f in found)
+
+
 def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     """Signed G statistic of a presence; positive where toxic texts have it more often."""
     n, k = n_pos + n_neg, pos + neg
@@ -321,20 +377,24 @@ class _Scorer:
         self.restorer, self.model = Restorer(CharModel(model.trigrams)), model
         self.weighty: dict[str, tuple[str, ...]] = {}
         self.plain: set[str] = set()
+        self.firsts = _firsts(model.weights)
 
     def _weighted(self, words: Iterable[str]) -> tuple[str, ...]:
-        return tuple(f for f in features(words) if f in self.model.weights)
+        return tuple(f for w in words if w[:3] in self.firsts for f in features((w,)) if f in self.model.weights)
 
     def score(self, text: str) -> float:
         if len(self.weighty) + len(self.plain) > CACHE_WORDS:
             self.weighty.clear()
             self.plain.clear()
-        tokens = text.split()
+        tokens = text.lower().split()
         distinct = set(tokens)
         hits = set(self._weighted(self.restorer.spelled(tokens, distinct)))
         for t in distinct - self.plain:
             found = self.weighty.get(t)
             if found is None:
+                if t.isalpha() and t[:3] not in self.firsts and not _THREE(t):
+                    self.plain.add(t)
+                    continue
                 found = self._weighted(self.restorer.token(t))
                 if not found:
                     self.plain.add(t)
@@ -345,15 +405,26 @@ class _Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+#: A worker's scorer, by its model's key: tasks that follow on the same worker need not restore the same tokens again.
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(key: str, model: ToxicModel) -> _Scorer:
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = _Scorer(model)
+    return _SCORERS[key]
+
+
 def score(documents: DataFrame, model: ToxicModel) -> DataFrame:
     """All columns of `documents`, and `score`."""
     spark = documents.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     cols = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _Scorer(shared.value)
+        s = _scorer(key, shared.value)
         for batch in small_slices(batches):
             scores = pa.array([s.score(t) for t in texts(batch)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(cols))], scores], names=[*cols, "score"])

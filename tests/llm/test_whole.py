@@ -272,3 +272,20 @@ def test_fingerprint_edges_by_brute_force(spark):
         a, b = Counter(fingerprint.paragraphs(t)), Counter(fingerprint.paragraphs(nxt))
         n = sum(a.values()) + sum(b.values())
         assert got[i].near_next == pytest.approx(1 - sum(((a - b) + (b - a)).values()) / n if n else 1)
+
+
+def test_trigrams_by_brute_force():
+    """Whole texts by arrays against word by word."""
+    r = random.Random(10)
+    found = ["".join(r.choice("abéß .,;:!?'-1\n\t\u00a0\u2028A\"İ") for _ in range(r.randrange(0, 400))) for _ in range(60)] + ["", " ", "a", "'a'", "a'b", "\ud800 x"]
+    want = Counter()
+    for w in " ".join(found).lower().split():
+        w = w.strip(".,;:?!\"'")
+        if w and set(w) <= set(toxicity.LETTERS):
+            want.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
+    grams = toxicity._Trigrams()
+    grams.add(found[:30])
+    grams.add([])
+    grams.add(found[30:])
+    got = grams.rows().to_pydict()
+    assert dict(zip(got["g"], got["n"], strict=True)) == dict(want)
