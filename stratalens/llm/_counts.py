@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 FAN = 512
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 _U = np.uint64
 
 

@@ -50,7 +50,7 @@ THRESHOLD = 75
 #: Hashes below this are counted in the first round.
 CLASS_0 = -(1 << 63) + 3 * (1 << 61)
 #: Tokens in a batch.
-BATCH_TOKENS = 1 << 21
+BATCH_TOKENS = 1 << 20
 LEADERS = 2
 #: Most rounds of more leaders for what is left over, and how many in each; they go on while a left-over row has more than FEW partners.
 ROUNDS = 4
@@ -68,7 +68,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:  # workers keep it from task to task
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -389,12 +388,12 @@ class _Scorer:
         tokens = text.lower().split()
         distinct = set(tokens)
         hits = set(self._weighted(self.restorer.spelled(tokens, distinct)))
-        for t in distinct - self.plain:
+        new = distinct - self.plain
+        odd = [t for t in new if t[:3] in self.firsts or not t.isalpha() or _THREE(t)]
+        self.plain |= new.difference(odd)
+        for t in odd:
             found = self.weighty.get(t)
             if found is None:
-                if t.isalpha() and t[:3] not in self.firsts and not _THREE(t):
-                    self.plain.add(t)
-                    continue
                 found = self._weighted(self.restorer.token(t))
                 if not found:
                     self.plain.add(t)
@@ -405,26 +404,15 @@ class _Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-#: A worker's scorer, by its model's key: tasks that follow on the same worker need not restore the same tokens again.
-_SCORERS: dict[str, _Scorer] = {}
-
-
-def _scorer(key: str, model: ToxicModel) -> _Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = _Scorer(model)
-    return _SCORERS[key]
-
-
 def score(documents: DataFrame, model: ToxicModel) -> DataFrame:
     """All columns of `documents`, and `score`."""
     spark = documents.sparkSession
     ship(spark)
-    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model)
     cols = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _scorer(key, shared.value)
+        s = _Scorer(shared.value)
         for batch in small_slices(batches):
             scores = pa.array([s.score(t) for t in texts(batch)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(cols))], scores], names=[*cols, "score"])
