@@ -96,6 +96,8 @@ def search_paths(edges: DataFrame, entries: DataFrame, targets: DataFrame, max_d
         front = cut_lineage(nxt)
         if front.isEmpty():
             break
+    if hits is None:  # no entry has an edge
+        hits = front.limit(0)
     first = Window.partitionBy("entry", "nodes").orderBy("rv")
     order = [F.size("rv"), F.col("rv")]
     hits = hits.withColumn("k", F.row_number().over(first)).filter("k = 1")

@@ -29,22 +29,28 @@ def high_entropy(token: Column, least: float = 4.0, shortest: int = 32, longest:
             & (shannon_entropy(token) >= least))
 
 
-def check(arg: Column, form: str, value: object = None) -> Column:
+def check(arg: Column, form: str, value: object = None, flag_name: str = "", ignore_case: bool = False) -> Column:
     """1, 0 or null (cannot tell) for an argument struct (kind, sval, ival, bval, text); a missing argument is 0."""
     kind = arg["kind"]
-    known = {
-        "equals": F.when(kind == "bool", arg["bval"] == F.lit(value == "true")).when(kind == "string", arg["sval"] == F.lit(str(value))).when(kind == "int", arg["ival"].cast("string") == F.lit(str(value))),
-        "in": F.when(kind == "string", arg["sval"].isin(*map(str, value or [""]))).when(kind == "int", arg["ival"].cast("string").isin(*map(str, value or [""]))) if isinstance(value, list) else F.lit(None),
-        "regex": F.when(kind == "string", arg["sval"].rlike(str(value))),
-        "notLiteral": ~kind.isin("string", "string-concat", "null"),
-        "concat": kind == "concat",
-        "literalish": kind.isin("string", "bytes-literal", "array-literal", "int"),
-        "flagsWithout": F.when(kind == "int", arg["ival"].bitwiseAND(int(value) if form == "flagsWithout" else 0) == 0).when(kind.isin("field", "flags"), F.lit(None)),
-    }[form]
-    result = F.coalesce(known, F.lit(False)).cast("int")
-    if form in ("notLiteral", "concat", "literalish"):
-        return F.when(arg.isNull(), 0).otherwise(result)
-    return F.when(arg.isNull(), 0).when(kind.isin(*UNKNOWN), F.lit(None)).otherwise(result)
+    low = F.lower if ignore_case else (lambda c: c)
+    options = value if isinstance(value, list) else [value]
+    strings = [v.lower() if ignore_case else v for v in options if isinstance(v, str)]
+    numbers = [v for v in options if isinstance(v, int) and not isinstance(v, bool)]
+    flags = [v for v in options if isinstance(v, bool)]
+    among = lambda c, found: c.isin(*found) if found else F.lit(False)
+    open_ = F.when(kind.isin(*UNKNOWN), F.lit(None)).otherwise(F.lit(False))
+    literal = F.when(kind == "string", among(low(arg["sval"]), strings)).when(kind == "int", among(arg["ival"], numbers))
+    if form == "equals":
+        result = literal.when(kind == "bool", among(arg["bval"], flags)).otherwise(open_)
+    elif form == "in":
+        result = literal.otherwise(open_)
+    elif form == "regex":
+        result = F.when(kind == "string", arg["sval"].rlike(str(value))).otherwise(open_)
+    elif form == "flagsWithout":
+        result = F.when(kind == "int", arg["ival"].bitwiseAND(value) == 0).when(kind.isin("field", "flags"), ~F.contains(arg["text"], F.lit(flag_name)))
+    else:
+        result = {"notLiteral": ~kind.isin("string", "string-concat", "null"), "concat": kind == "concat", "literalish": kind.isin("string", "bytes-literal", "array-literal", "int")}[form]
+    return F.when(arg.isNull(), 0).otherwise(result.cast("int"))
 
 
 def combined(receiver: Column, checks: list[Column]) -> Column:

@@ -38,12 +38,12 @@ def effective_export(kind: Column, attribute: Column, counted_filters: Column, t
     none = F.lit(None).cast("boolean")
     row = lambda e, g, r, c: F.struct(e.alias("exported"), g.alias("guess"), F.lit(r).alias("reason"), c.alias("confidence"))
     text = lambda b: F.when(b, "true").otherwise("false")
-    implicit = F.when(provider, sdk < 17).when(sdk >= 31, F.when(implied, min_sdk < 31)).otherwise(implied)
+    implicit = F.when(provider, sdk < 17).otherwise(implied)
     return (
         F.when(attribute.isin("true", "false"), row(attribute, none, "explicit", F.lit("high")))
         .when(attribute.isNotNull(), row(F.lit("unknown"), F.coalesce(resource_guess, implicit), "resource", F.lit("low")))
         .when(provider, row(text(sdk < 17), none, "provider default", sure))
-        .when(implied & (sdk >= 31), row(F.lit("inconsistent"), F.when(F.coalesce(min_sdk, F.lit(1)) < 31, True), "filter without attribute", F.lit("low")))
+        .when(implied & (sdk >= 31), row(F.lit("inconsistent"), F.when(min_sdk < 31, True), "filter without attribute", F.lit("low")))
         .otherwise(row(text(implied), none, "filters", sure))
     )
 

@@ -197,14 +197,14 @@ def three_valued_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ATTRIBUTES = """a as (select o_orderkey, case o_orderkey % 4 when 0 then 'provider' when 1 then 'service' else 'activity' end as kind,
   case o_orderstatus when 'F' then 'true' when 'O' then null when 'P' then '@bool/x' end as attribute,
-  (o_orderkey % 3)::int as filters, case when o_orderkey % 5 = 0 then null else (14 + o_orderkey % 20)::int end as target, (10 + o_orderkey % 25)::int as min_sdk,
+  (o_orderkey % 3)::int as filters, case when o_orderkey % 5 = 0 then null else (14 + o_orderkey % 20)::int end as target, case when o_orderkey % 7 = 0 then null else (10 + o_orderkey % 25)::int end as min_sdk,
   case when o_custkey % 3 = 0 then true when o_custkey % 3 = 1 then false end as res,
   case when o_orderpriority like '1%' then 'signature' when o_orderpriority like '2%' then 'normal' when o_orderpriority like '3%' then null else 'none' end as lvl from orders)"""
 
 
 @query(f"""with {_ATTRIBUTES},
-b as (select *, coalesce(target, min_sdk) as sdk, lvl is distinct from 'none' as has_permission from a),
-c as (select *, case when kind = 'provider' then sdk < 17 when sdk >= 31 then case when filters > 0 then min_sdk < 31 end else filters > 0 end as implicit from b),
+b as (select *, coalesce(target, min_sdk, 1) as sdk, lvl is distinct from 'none' as has_permission from a),
+c as (select *, case when kind = 'provider' then sdk < 17 else filters > 0 end as implicit from b),
 d as (select *, case when attribute = 'true' then 'true' when attribute is not null then 'unknown' when kind = 'provider' then case when sdk < 17 then 'true' else 'false' end
     when filters > 0 and sdk >= 31 then 'inconsistent' when filters > 0 then 'true' else 'false' end as exported,
   case when attribute = 'true' then null when attribute is not null then coalesce(res, implicit) when kind <> 'provider' and filters > 0 and sdk >= 31 and min_sdk < 31 then true end as guess,
@@ -218,7 +218,7 @@ def export_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = o.select(
         "o_orderkey", F.when(k % 4 == 0, "provider").when(k % 4 == 1, "service").otherwise("activity").alias("kind"),
         F.when(F.col("o_orderstatus") == "F", "true").when(F.col("o_orderstatus") == "P", "@bool/x").alias("attribute"), (k % 3).cast("int").alias("filters"),
-        F.when(k % 5 != 0, (k % 20 + 14).cast("int")).alias("target"), (k % 25 + 10).cast("int").alias("min_sdk"),
+        F.when(k % 5 != 0, (k % 20 + 14).cast("int")).alias("target"), F.when(k % 7 != 0, (k % 25 + 10).cast("int")).alias("min_sdk"),
         F.when(F.col("o_custkey") % 3 == 0, True).when(F.col("o_custkey") % 3 == 1, False).alias("res"),
         F.when(F.col("o_orderpriority").startswith("1"), "signature").when(F.col("o_orderpriority").startswith("2"), "normal").when(F.col("o_orderpriority").startswith("3"), None).otherwise("none").alias("lvl"))
     x = a.withColumn("x", surface.effective_export(F.col("kind"), F.col("attribute"), F.col("filters"), F.col("target"), F.col("min_sdk"), F.col("res")))

@@ -2,6 +2,10 @@
 
 A lexer splits the text into tokens with their lines; a stack of scopes then follows braces. A file that ends inside a
 scope or closes one too many is marked partial, and its good declarations stay.
+
+A call's receiver is described by its form (implicit, variable with its declared type, name, call, creation), an argument by its
+kind and literal value; a method by the shape of its body. Fields and constants count for their whole class, wherever they are
+declared: a first walk collects them, the second one uses them.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import expressions as X
 
 #: Larger files are skipped with a warning.
 MAX_BYTES = 8 << 20
@@ -26,7 +31,10 @@ _TYPES = ("class", "interface", "enum", "record")
 _KEYWORDS = frozenset("if for while switch catch synchronized return throw new super this assert else do try instanceof case".split())
 DECLARATIONS = "path string, ord int, id string, name string, package string, owner string, kind string, abstract boolean, line int, end_line int, declaration string, original_name string, partial boolean"
 REFS = "owner string, ord int, name string, kind string"
-FACTS = "owner string, ord int, kind string, name string, receiver string, value string, args array<string>, line int, anonymous boolean"
+_RECEIVER = "kind string, name string, type string, method string, inner_kind string, inner_name string"
+_ARGUMENT = "kind string, sval string, ival bigint, bval boolean, text string, constant string"
+FACTS = (f"owner string; ord int; kind string; method string; name string; value string; receiver struct<{_RECEIVER}>; args array<struct<{_ARGUMENT}>>; body string; "
+         "calls array<string>; anonymous_type string; anonymous boolean; line int; end_line int; snippet string")
 IMPORTS = "path string, simple string, fqn string, wildcard boolean"
 
 
@@ -102,35 +110,64 @@ def _name(tokens: list[Token], i: int) -> tuple[str, int]:
     return ".".join(parts), i
 
 
-def _arguments(tokens: list[Token], i: int) -> list[str]:
-    """Source text of each argument of the bracket at i."""
-    end, depth, parts, now = _skip(tokens, i, "(", ")") - 1, 0, [], []
-    for t in tokens[i + 1 : end]:
-        depth += (t.text in "([{") - (t.text in ")]}")
-        if t.text == "," and not depth:
-            parts.append(" ".join(now))
-            now = []
-        else:
-            now.append(t.text)
-    return [*parts, " ".join(now)] if now or parts else []
+def _arguments(tokens: list[Token], i: int, constants: dict[str, dict]) -> list[dict]:
+    """Each argument of the bracket at i."""
+    end = _skip(tokens, i, "(", ")") - 1
+    return [X.argument(p, constants) for p in X.split_top(tokens[i + 1 : end], ",") if p]
+
+
+@dataclass
+class Anonymous:
+    """An anonymous body; `type` is None for a local class."""
+
+    type: str | None
 
 
 def parse(source: str) -> Unit:
-    unit, everything = Unit(), lex(source)
+    everything, fields, constants = lex(source), {}, {}
+    _walk(source, everything, fields, constants, False)
+    return _walk(source, everything, fields, constants, True)
+
+
+def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]], constants: dict[int, dict[str, dict]], second: bool) -> Unit:
+    """One walk over the tokens; `fields` and `constants` of each class body, by the place of its brace."""
+    unit = Unit()
     tokens = [t for t in everything if t.kind != "comment"]
     notes = [t for t in everything if t.kind == "comment"]
-    stack: list[Declaration | str | None] = []  # a type, "anon" for an anonymous body, None for any other brace
-    waiting: Declaration | str | None = None
+    stack: list[Declaration | Anonymous | None] = []  # a type, an anonymous body, None for any other brace
+    scopes: list[tuple[int, dict[str, str]]] = []  # of each open brace: its place, and the variables declared in it
+    coming: dict[str, str] = {}  # variables declared in brackets, for the brace that follows
+    waiting: Declaration | Anonymous | None = None
+    anonymous_at: dict[int, str] = {}
     i, paren = 0, 0
 
+    def type_of(name: str) -> str | None:
+        if name in coming:
+            return coming[name]
+        for (at, own), s in zip(reversed(scopes), reversed(stack), strict=True):
+            found = own.get(name) or (fields.get(at, {}).get(name) if s is not None else None)
+            if found:
+                return found
+        return None
+
+    def literals() -> dict[str, dict]:
+        out: dict[str, dict] = {}
+        for (at, _), s in zip(scopes, stack, strict=True):
+            if s is not None:
+                out |= constants.get(at, {})
+        return out
+
     def owner() -> Declaration | None:
         return next((s for s in reversed(stack) if isinstance(s, Declaration)), None)
 
     def fact(kind: str, t: Token, **more: object) -> None:
         o = owner()
         if o:
-            above = stack[stack.index(o) :] if o in stack else []
-            unit.facts.append({"owner": o.id, "kind": kind, "line": t.line, "anonymous": "anon" in above, "name": None, "receiver": None, "value": None, "args": None} | more)
+            above = [x for x in stack[stack.index(o) :] if isinstance(x, Anonymous)]
+            start = source.rfind("\n", 0, t.at) + 1
+            end = source.find("\n", t.at)
+            unit.facts.append({"owner": o.id, "kind": kind, "line": t.line, "end_line": t.line, "anonymous": bool(above), "anonymous_type": above[-1].type if above else None, "method": None, "name": None,
+                               "receiver": None, "value": None, "args": None, "body": None, "calls": None, "snippet": source[start : end if end >= 0 else len(source)].strip()[:400]} | more)
 
     while i < len(tokens):
         t = tokens[i]
@@ -188,53 +225,96 @@ def parse(source: str) -> Unit:
                             source[tokens[first].at : tokens[j].at if j < len(tokens) else len(source)].strip(), note, refs)
             waiting = None if local else d
             if local:
-                waiting = "anon"
+                waiting = Anonymous(None)
             else:
                 unit.declarations.append(d)
             i = j
             continue
         if t.text == "{":
+            if i in anonymous_at:
+                waiting = Anonymous(anonymous_at[i])
             stack.append(waiting)
-            waiting = None
+            scopes.append((i, coming))
+            waiting, coming = None, {}
         elif t.text == "}":
             if stack:
                 top = stack.pop()
+                scopes.pop()
                 if isinstance(top, Declaration):
                     top.end_line = t.line
             else:
                 unit.partial = True
         elif t.text in "()":
             paren += 1 if t.text == "(" else -1
+        elif t.text == ";" and not paren:
+            coming = {}
         elif t.text == "new" and tokens[i + 1 : i + 2] and tokens[i + 1].kind == "word":
             name, j = _name(tokens, i + 1)
             if j < len(tokens) and tokens[j].text == "(":
-                fact("new", t, name=name, args=_arguments(tokens, j))
+                if second:
+                    fact("new", t, name=name, args=_arguments(tokens, j, literals()))
                 k = _skip(tokens, j, "(", ")")
                 if k < len(tokens) and tokens[k].text == "{":
-                    waiting = "anon"
-        elif t.kind == "string":
-            fact("string", t, value=t.text.strip('"'))
+                    anonymous_at[k] = name
+        elif t.kind in ("string", "text"):
+            if second:
+                fact("string", t, value=X.unescaped(t.text))
         elif t.kind == "word" and nxt == "(" and t.text not in _KEYWORDS and before != "new" and stack:
-            receiver = None
-            if before == ".":
-                k = i - 2
-                parts = []
-                while k >= 0 and (tokens[k].kind == "word" or tokens[k].text == "."):
-                    parts.append(tokens[k].text)
-                    k -= 1
-                receiver = "".join(reversed(parts)) or "()"
-            declares = isinstance(stack[-1], Declaration) or stack[-1] == "anon"
+            declares = isinstance(stack[-1], (Declaration, Anonymous))
+            after = _skip(tokens, i + 1, "(", ")")
             if not (declares and i and (tokens[i - 1].kind == "word" or before in (">", "]"))):
-                fact("call", t, name=t.text, receiver=receiver, args=_arguments(tokens, i + 1))
-            else:
-                fact("method", t, name=t.text)
-        elif t.kind == "word" and t.text.isupper() and len(t.text) > 2:
-            fact("identifier", t, name=t.text)
+                if second:
+                    fact("call", t, method=t.text, name=t.text, receiver=X.receiver(tokens, i, type_of), args=_arguments(tokens, i + 1, literals()))
+            elif second:
+                while after < len(tokens) and tokens[after].text not in "{;":
+                    after += 1  # throws
+                shape, calls = "abstract", []
+                if after < len(tokens) and tokens[after].text == "{":
+                    shape, calls = X.body_shape(tokens, after, _skip(tokens, after, "{", "}") - 1)
+                fact("override", t, method=t.text, name=t.text, body=shape, calls=calls)
+        elif t.kind == "word":
+            declared = X.declared_type(tokens, i) if t.text not in _KEYWORDS else None
+            if nxt == "->":
+                declared = "?"
+            if declared and stack:
+                if paren or not scopes:
+                    coming[t.text] = declared
+                elif stack[-1] is not None:
+                    at = scopes[-1][0]
+                    fields.setdefault(at, {}).setdefault(t.text, declared)
+                    _constant(tokens, i, constants.setdefault(at, {}))
+                else:
+                    scopes[-1][1][t.text] = declared
+            elif t.text.isupper() and len(t.text) > 2 and second:
+                fact("identifier", t, name=t.text)
+        elif t.text == "->" and before == ")":
+            at = X.before_bracket(tokens, i - 1)
+            for x in X.split_top(tokens[at + 1 : i - 1], ","):
+                if len(x) == 1:
+                    coming[x[0].text] = "?"
         i += 1
     unit.partial = unit.partial or bool(stack) or paren != 0
     return unit
 
 
+def _constant(tokens: list[Token], i: int, found: dict[str, dict]) -> None:
+    """The literal of a static final field declared at i."""
+    if tokens[i + 1].text != "=":
+        return
+    k = i
+    while k and tokens[k - 1].text not in ("{", "}", ";"):
+        k -= 1
+    if not {"static", "final"} <= {t.text for t in tokens[k:i]}:
+        return
+    depth, end = 0, i + 2
+    while end < len(tokens) and (depth or tokens[end].text not in (";", ",")):
+        depth += (tokens[end].text in X.OPEN) - (tokens[end].text in X.CLOSE)
+        end += 1
+    value = X.argument(tokens[i + 2 : end], {}) if end > i + 2 else {"kind": "other"}
+    if value["kind"] in ("string", "int", "bool", "array-literal", "bytes-literal"):
+        found[tokens[i].text] = value
+
+
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, length) of all .java files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(root)
@@ -259,11 +339,14 @@ def parsed_versions(files: DataFrame) -> DataFrame:
 
 def _parsed(files: DataFrame, keep: str, ddl_of_kept: str) -> DataFrame:
     ship(files.sparkSession)
-    struct = lambda s: "struct<" + ", ".join(c.replace(" ", ": ", 1) for c in s.split(", ")) + ">"
+    fields = lambda s: [c.strip() for c in s.split(";" if ";" in s else ",")]
+    struct = lambda s: "struct<" + ", ".join(c.replace(" ", ": ", 1) for c in fields(s)) + ">"
 
     # the same names and types as Spark's, for the workers' batches
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    of = lambda s: pa.list_(pa.struct([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in s.split(", ")]))
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    record = lambda s: pa.struct([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in s.split(", ")])
+    kinds |= {f"struct<{_RECEIVER}>": record(_RECEIVER), f"array<struct<{_ARGUMENT}>>": pa.list_(record(_ARGUMENT))}
+    of = lambda s: pa.list_(pa.struct([(c.split(" ", 1)[0], kinds[c.split(" ", 1)[1]]) for c in fields(s)]))
     kept = [c.strip() for c in keep.split(",")] if ddl_of_kept else []
     target = pa.schema([*[(c, pa.string() if c == "path" else pa.int64()) for c in kept], ("declarations", of(DECLARATIONS)), ("refs", of(REFS)), ("facts", of(FACTS)), ("imports", of(IMPORTS))])
 

@@ -28,9 +28,10 @@ def test_declarations(rows):
 
 
 def test_facts(rows):
-    facts = {(r.kind, r.name, r.receiver): r for r in java.entity(rows, "facts").collect()}
-    assert ("call", "loadUrl", "web") in facts and ("new", "Thread", None) in facts
-    assert facts[("call", "stop", None)].anonymous and list(facts[("call", "stop", None)].args) == ["1", "f ( 2 )"]
+    facts = {(r.kind, r.name): r for r in java.entity(rows, "facts").collect()}
+    assert facts["call", "loadUrl"].receiver.name == "web" and facts["call", "loadUrl"].receiver.kind == "name" and facts["call", "loadUrl"].args[0].sval == "http://x"
+    stop = facts["call", "stop"]
+    assert stop.anonymous and stop.anonymous_type == "Thread" and [(a.kind, a.ival) for a in stop.args] == [("int", 1), ("call", None)]
 
 
 def test_edges_and_roles(rows, spark):

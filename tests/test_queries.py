@@ -3,6 +3,7 @@
 import pytest
 from oracle import expected, rows_of
 
+from stratalens.plans import goldens  # noqa: F401  (adds its queries)
 from stratalens.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
