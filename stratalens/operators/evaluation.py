@@ -160,8 +160,8 @@ def findings(facts: DataFrame, declarations: DataFrame, imports: DataFrame, link
 
 
 def sorted_findings(found: DataFrame) -> DataFrame:
-    """Most severe first, then rule, file and line."""
-    return found.orderBy(F.desc(S.rank_of(F.col("severity"), S.SEVERITIES)), "rule", "path", "line", "ord")
+    """Most severe first, then class, line and rule."""
+    return found.orderBy(F.desc(S.rank_of(F.col("severity"), S.SEVERITIES)), "class_id", "line", "rule", "ord")
 
 
 def rule_summaries() -> str:

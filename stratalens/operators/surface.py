@@ -50,10 +50,10 @@ def effective_export(kind: Column, attribute: Column, counted_filters: Column, t
 
 def level_rank(permission: Column, level: Column) -> Column:
     """0 without a permission, then unknown, normal, dangerous; 9 for those bound to a signature."""
-    out = F.lit(9)
+    out = F.lit(1)
     for name, r in LEVEL_RANK.items():
-        out = F.when(F.coalesce(level, F.lit("unknown")) == name, r).otherwise(out)
-    return F.when(permission.isNull(), 0).otherwise(out)
+        out = F.when(level == name, r).otherwise(out)
+    return F.when(permission.isNull(), 0).when(level.rlike("signature|privileged|knownSigner"), 9).otherwise(out)
 
 
 def weakest_side(read: Column, write: Column, shared: Column, rank: dict[str, Column]) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, hierarchy, inheritance
+from ..operators import components, evaluation, hierarchy, inheritance
 from ..session import cut_lineage
-from ..sources import java
+from ..sources import java, manifest
 from .queries import query
 
 
@@ -106,3 +106,55 @@ def framework_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   "java.io.Externalizable", "androidx.core.content.FileProvider", "java.lang.Object")], "type string")
     links = hierarchy.framework_types(spark).select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
     return hierarchy.roles_of(types, hierarchy.ancestors(links)).select("type", F.array_join("roles", ",").alias("roles"))
+
+
+_MANIFEST = b"""<manifest xmlns:android="http://schemas.android.com/apk/res/android" package="g"><uses-sdk android:minSdkVersion="24" android:targetSdkVersion="33"/>
+<uses-permission android:name="p.NET"/><permission android:name="g.SIG" android:protectionLevel="signature|privileged"/><permission android:name="g.LOW"/>
+<application android:permission="g.LOW" android:name=".App" android:debuggable="@bool/dev">
+<activity android:name=".Sends" android:exported="true" android:permission="g.SIG"><intent-filter android:autoVerify="true"><action android:name="android.intent.action.VIEW"/>
+<category android:name="android.intent.category.BROWSABLE"/><data android:scheme="https" android:host="b.c" android:port="8443"/><data android:scheme="g" android:path="/x"/></intent-filter></activity>
+<activity-alias android:name="Alias" android:targetActivity=".Sends" android:exported="true"/>
+<activity android:name=".Hidden"><intent-filter><action android:name="a.GO"/></intent-filter></activity>
+<activity android:name="g.Maybe" android:exported="@bool/open"><intent-filter><action android:name="a.GO"/></intent-filter></activity>
+<activity android:name="g.Lost" android:exported="@bool/none"/>
+<service android:name=".Serve" android:exported="@bool/mixed" android:enabled="false"><intent-filter/></service>
+<receiver android:name=".Names"><intent-filter/></receiver>
+<provider android:name=".Give" android:exported="true" android:readPermission="g.SIG"/>
+<provider android:name=".Keep" android:permission="x.OTHER"/></application></manifest>"""
+_BOOLS = {"default": b"<resources><bool name='open'>true</bool><bool name='mixed'>false</bool><bool name='dev'>true</bool></resources>", "v30": b"<resources><bool name='mixed'> true </bool></resources>"}
+
+
+def surface_of(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifests, bools, components) of the small application."""
+    rows = manifest.manifests(spark.createDataFrame([("g", bytearray(_MANIFEST))], "project string, content binary"))
+    values = manifest.bools(spark.createDataFrame([("g", q, bytearray(c)) for q, c in _BOOLS.items()], "project string, qualifier string, content binary"))
+    return rows, values, components.components(manifest.component_rows(rows), values)
+
+
+@query(_values([
+    ("activity", "g.Sends", "true", None, "high", "true", "g.SIG", "component", "signature|privileged", 2, "g://b.c:8443/x,https://b.c:8443/x"),
+    ("activity-alias", "g.Alias", "true", None, "high", "true", None, None, None, 0, ""),
+    ("activity", "g.Hidden", "inconsistent", True, "low", "true", "g.LOW", "application", "normal", 4, ""),
+    ("activity", "g.Maybe", "unknown", True, "low", "true", "g.LOW", "application", "normal", 4, ""),
+    ("activity", "g.Lost", "unknown", False, "low", "true", "g.LOW", "application", "normal", 6, ""),
+    ("service", "g.Serve", "unknown", True, "low", "false", "g.LOW", "application", "normal", 14, ""),
+    ("receiver", "g.Names", "false", None, "high", "true", "g.LOW", "application", "normal", 7, ""),
+    ("provider", "g.Give", "true", None, "high", "true", "g.SIG / g.LOW", "component", "normal", 1, ""),
+    ("provider", "g.Keep", "false", None, "high", "true", "x.OTHER", "component", "unknown", 7, "")],
+    "type, name, exported, guess, confidence, enabled, permission, permission_source, protection_level, exposure, links"))
+def manifest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface_of(spark)[2].select("type", "name", "exported", "guess", "confidence", "enabled", "permission", "permission_source", "protection_level", "exposure",
+                                       F.array_join(F.transform("deep_links", lambda d: d["uri"]), ",").alias("links"))
+
+
+@query(_values([("g.Sends", "g.Sends", "high"), ("g.Alias", "g.Sends", "high"), ("g.Hidden", "g.Hidden", "high"), ("g.Maybe", None, None), ("g.Lost", None, None), ("g.Serve", None, None),
+                ("g.Names", "g.Names", "missing"), ("g.Give", None, None), ("g.Keep", None, None)], "name, class, role_check"))
+def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark)
+    return components.linked(surface_of(spark)[2], c["declarations"], c["roles"]).select("name", "class", "role_check")
+
+
+@query(_values([("debuggable", "unknown", True), ("allowBackup", None, None), ("usesCleartextTraffic", None, None), ("testOnly", None, None), ("enabled", None, None)], "flag, value, guess"))
+def application_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, values, _ = surface_of(spark)
+    return components.app_flags(rows, values).select("flag", "value", "guess")
