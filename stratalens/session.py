@@ -1,30 +1,40 @@
-"""Session helpers."""
+"""Session helpers: the shared folder, cut lineage, and code for the workers."""
 
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Only a local session may go without one: it gets a temporary folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="stratalens-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder that the cluster names (a temporary one where it names none) and read it back."""
+    """Write `df` to the shared folder and read it back."""
     spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/stratalens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -33,8 +43,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package."""
-    root = str(Path(__file__).resolve().parents[1])
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    """Send this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="stratalens-code-")
+        copy = shutil.copytree(top / "stratalens", f"{folder}/code/stratalens", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/stratalens", "zip", Path(copy).parent))
+        atexit.register(shutil.rmtree, folder, True)
+        _SHIPPED.add(context.applicationId)
