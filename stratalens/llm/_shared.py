@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_dir, ship  # noqa: F401  (ship: for the operators)
+
 #: ASCII white space; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that a Python operator turns into Python strings at a time.
@@ -41,29 +40,12 @@ def hash_bucket(col: Column | str, n: int, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit(""))) % modulus == n
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended
-        pass
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later steps neither recompute it nor depend on lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/stratalens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -72,15 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete what `materialize` wrote, once nothing reads it any more."""
     for df in frames:
-        _remove(df.sparkSession, df._scratch_path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
-    root = str(Path(__file__).resolve().parents[2])
-    have = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+        remove(df.sparkSession, df._scratch_path)
 
 
 def small_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

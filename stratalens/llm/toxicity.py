@@ -272,16 +272,22 @@ def _fit(idx: np.ndarray, lengths: np.ndarray, y: np.ndarray, times: np.ndarray,
 
     Row i has `lengths[i]` features in a row of `idx`, the label y[i], and stands for times[i] documents.
     """
+    some = np.flatnonzero(lengths)  # rows without features have the bias alone
+    starts = (np.cumsum(lengths) - lengths)[some]
     own = np.repeat(np.arange(len(lengths)), lengths)
     y, times = y.astype(float), times.astype(float)
     w, b = np.zeros(n), math.log((times @ y + 1) / (times @ (1 - y) + 1))
     scale = 4 / (np.bincount(idx, times[own], minlength=n) + l2)
-    vel, vel_b = np.zeros(n), 0.0
+    vel, vel_b, z = np.zeros(n), 0.0, np.zeros(len(y))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(own, w[idx], minlength=len(y)), -30, 30)))
+        if len(some):
+            z[some] = np.add.reduceat(w[idx], starts)
+        p = 1 / (1 + np.exp(-np.clip(b + z, -30, 30)))
         vel = 0.8 * vel - 0.1 * scale * (np.bincount(idx, (times * (p - y))[own], minlength=n) + l2 * w)
         vel_b = 0.8 * vel_b - 0.1 * 4 * (times @ (p - y)) / times.sum()
         w, b = w + vel, b + vel_b
+        if max(np.abs(vel).max(initial=0.0), abs(vel_b)) < 1e-4:
+            break
     return b, w
 
 
@@ -310,16 +316,15 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
 
     def count(y: int, among: frozenset[str] | None = None) -> DataFrame:
         """f, n: rows with a feature, in parts; only features in `among`, if it is given."""
-        begin = None if among is None else _firsts(among)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[str] = Counter()
+            known = None if among is None else _Known(among)
             for batch in small_slices(batches):
                 for ws in batch.column("ws").to_pylist():
                     if among is None:
                         seen.update(set(features(ws)))
                     else:
-                        seen.update({f for w in ws if w[:3] in begin for f in features((w,)) if f in among})
+                        seen.update({f for w in ws for f in known[w]})
                 if len(seen) > 4 * CACHE_WORDS:
                     yield flush(seen)
             yield flush(seen)
@@ -342,11 +347,11 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     gains = both.withColumn("gain", _gain(F.col("pos"), F.col("neg"), n_pos, n - n_pos)).filter(F.col("gain") > MIN_GAIN)
     chosen = [r.f for r in gains.orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
-    firsts = _firsts(chosen)
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(place)
         for batch in small_slices(batches):
-            rows = [sorted({place[f] for w in ws if w[:3] in firsts for f in features((w,)) if f in place}) for ws in batch.column("ws").to_pylist()]
+            rows = [sorted({place[f] for w in ws for f in known[w]}) for ws in batch.column("ws").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int64()))], names=["y", "x"])
 
     # equal rows are one row with a count; most have no feature at all
@@ -361,6 +366,21 @@ def _firsts(found: Iterable[str]) -> frozenset[str]:
     return frozenset(f[:3] for f in found)
 
 
+class _Known(dict):
+    """word -> those of its features that are in `among`; bounded."""
+
+    def __init__(self, among: Iterable[str]):
+        super().__init__()
+        self.among = among if isinstance(among, (dict, frozenset)) else frozenset(among)
+        self.firsts = _firsts(self.among)
+
+    def __missing__(self, w: str) -> tuple[str, ...]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        found = self[w] = tuple(f for f in features((w,)) if f in self.among) if w[:3] in self.firsts else ()
+        return found
+
+
 def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     """Signed G statistic of a presence; positive where toxic texts have it more often."""
     n, k = n_pos + n_neg, pos + neg
