@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def page(rows: DataFrame, key: str, number: int, size: int) -> DataFrame:
     """One page by key, with the total of all rows."""
@@ -42,8 +44,21 @@ def resolve(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
         "name", F.when(F.col("b.n") == 1, F.col("b.target")).alias("target"), F.when(F.col("b").isNull(), "unresolved").when(F.col("b.n") == 1, "resolved").otherwise("ambiguous").alias("status"))
 
 
+def ranked(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """`rows` with their place from 1: ranges are sorted apart, and a range's start is the sum of the counts before it (one row a range)."""
+    sorted_ = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND((1 << 33) - 1)
+    counts = sorted_.groupBy(part).agg(F.count("*").alias("_c"))
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, place + F.col("_before") + 1).drop("_m", "_part", "_before")
+
+
 def numbered(names: DataFrame, name: str, prefix: str, width: int, by: list[str] | None = None) -> DataFrame:
     """(by, name, alias): sorted distinct names with numbered aliases, within `by`."""
     keys = by or []
-    w = Window.partitionBy(*keys).orderBy(name)
-    return names.select(*keys, name).distinct().withColumn("alias", F.concat(F.lit(prefix), F.lpad(F.row_number().over(w).cast("string"), width, "0")))
+    found = names.select(*keys, name).distinct()
+    if keys:
+        found = found.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(name)))
+    else:
+        found = ranked(found, [name])
+    return found.select(*keys, name, F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), width, "0")).alias("alias"))

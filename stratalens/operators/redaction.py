@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import ranked
+
 #: Shorter names stand as they are: they are parts of too many words.
 SHORTEST = 4
 #: A name that may be replaced: words joined by dots, slashes or dollar signs.
@@ -45,8 +47,7 @@ def host_aliases(texts: DataFrame, order: str, text: str) -> DataFrame:
     """(host, alias) of the hosts of URLs: hostN.invalid in the order in which they first occur."""
     found = texts.select(F.col(order).alias("_o"), F.posexplode(F.regexp_extract_all(text, F.lit(_HOST), F.lit(1))).alias("_i", "host"))
     first = found.groupBy(F.lower("host").alias("host")).agg(F.min(F.struct("_o", "_i", F.lower("host"))).alias("_f"))
-    n = F.row_number().over(Window.orderBy("_f"))  # one row for each distinct host
-    return first.select("host", F.concat(F.lit("host"), n.cast("string"), F.lit(".invalid")).alias("alias"))
+    return ranked(first, ["_f"]).select("host", F.concat(F.lit("host"), F.col("number").cast("string"), F.lit(".invalid")).alias("alias"))
 
 
 def replaced(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:

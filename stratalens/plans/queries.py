@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import diffing, graph, lookup, rules, surface
+from ..operators import diffing, graph, lookup, overview, rules, surface
+from ..sinks import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,3 +352,72 @@ def confidence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     rank = F.when(F.col("s_acctbal") < 0, 1).when(F.col("s_acctbal") < 5000, 2).otherwise(3)
     return s.select("s_suppkey", S.name_of(rank, S.CONFIDENCES, 1).alias("confidence"), S.table_cell(F.regexp_replace("s_name", "#", "")).alias("cell"))
+
+
+_CANDIDATES = """f as (select o_orderkey as line, 'c' || o_custkey as class_id, o_orderpriority as rule, o_orderstatus as category,
+  case left(o_orderpriority, 1) when '1' then 'high' when '2' then 'medium' when '3' then 'low' else 'info' end as severity,
+  case when o_totalprice < 100000 then 'low' when o_totalprice < 200000 then 'medium' else 'high' end as confidence from orders)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    o, p, price = table(spark, d, "orders"), F.substring("o_orderpriority", 1, 1), F.col("o_totalprice")
+    severity = F.when(p == "1", "high").when(p == "2", "medium").when(p == "3", "low").otherwise("info")
+    return o.select(F.col("o_orderkey").alias("line"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("class_id"), F.col("o_orderpriority").alias("rule"), F.col("o_orderstatus").alias("category"),
+                    severity.alias("severity"), F.when(price < 100000, "low").when(price < 200000, "medium").otherwise("high").alias("confidence"))
+
+
+@query(f"""with {_CANDIDATES} select class_id, line, rule, severity, confidence from f where severity in ('medium', 'high') and confidence in ('medium', 'high') and category = 'F'
+order by case severity when 'high' then 0 else 1 end, class_id, line, rule limit 500""")
+def finding_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.listed_findings(_candidates(spark, sf_dir), "medium", "medium", "F").select("class_id", "line", "rule", "severity", "confidence")
+
+
+@query(f"""with recursive {_LINKS}, up(node, root, n) as (select child, parent, 1 from links union all select u.node, l.parent, n + 1 from up u join links l on l.child = u.root)
+select node, arg_max(root, n) as root from up group by node""")
+def root_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.root_class(_parents(spark, sf_dir).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+
+
+@query(f"""with {_LINKS}, e as (select child as src, parent as dst from links), s as (select 'n3' as node),
+a as (select src as node, 1 as depth from e where dst = 'n3'), g as (select node, count(*) as degree from (select src as node from e union all select dst from e) group by node),
+x as (select node, 0 as depth from s union all select * from a)
+select x.node, depth::int as depth, degree from x join g on g.node = x.node order by depth > 0, degree desc, x.node limit 600""")
+def focus_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _parents(spark, sf_dir).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return overview.focus(edges, spark.createDataFrame([("n3",)], "node string"), "children")
+
+
+@query("""select 'o' || o_custkey as project, o_orderpriority as flag, min(case when o_orderstatus = 'F' then 'true' else 'false' end) as old, max(case when o_orderstatus = 'F' then 'true' else 'false' end) as new, true as highlight
+from orders group by 1, 2 having count(distinct o_orderstatus = 'F') = 2""")
+def flag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    v = F.when(F.col("o_orderstatus") == "F", "true").otherwise("false")
+    side = lambda agg: o.groupBy(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("project"), F.col("o_orderpriority").alias("flag")).agg(agg(v).alias("value"))
+    return overview.flag_changes(side(F.min), side(F.max))
+
+
+@query("""select coalesce(a.p, b.p) as project, case when a.p is null then 'added' else 'removed' end as change
+from (select distinct o_custkey::varchar as p from orders where o_orderstatus = 'F') a full join (select distinct o_custkey::varchar as p from orders where o_orderstatus = 'O') b on a.p = b.p where a.p is null or b.p is null""")
+def manifest_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda s: table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").cast("string").alias("project"))
+    return overview.presence(side("F"), side("O"))
+
+
+@query("""select to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::varchar as value from region""")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_rows(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@query(r"""select p_partkey, substr(replace(regexp_replace(p_name || case when p_partkey % 3 = 0 then ' | a' || chr(10) || 'b' else '' end || case when p_partkey % 5 = 0 then repeat('x', 200) else '' end, '[\r\n]+', ' ', 'g'), '|', '\|'), 1, 160) as cell from part""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " | a\nb").otherwise(""), F.when(F.col("p_partkey") % 5 == 0, F.repeat(F.lit("x"), 200)).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", S.table_cell(text).alias("cell"))
+
+
+@query(r"""with t as (select p_partkey, md5(p_name) || upper(left(md5(p_brand), 12)) || case when p_partkey % 4 = 0 then ' x' else '' end as t from part where p_size >= 32),
+n as (select p_partkey, t, length(t)::double as n, unnest(list_distinct(string_split(t, ''))) as c from t),
+e as (select p_partkey, any_value(t) as t, -sum((n - length(replace(t, c, ''))) / n * log2((n - length(replace(t, c, ''))) / n)) as e from n group by p_partkey)
+select p_partkey, regexp_matches(t, '[a-z]') and regexp_matches(t, '[A-Z]') and regexp_matches(t, '[0-9]') and not regexp_matches(t, '\s') and length(t) between 32 and 256 and e >= 4.0 as hit from e""")
+def high_entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.md5("p_name"), F.upper(F.substring(F.md5("p_brand"), 1, 12)), F.when(F.col("p_partkey") % 4 == 0, " x").otherwise(""))
+    return table(spark, sf_dir, "part").filter("p_size >= 32").select("p_partkey", rules.high_entropy(t).alias("hit"))

@@ -55,3 +55,17 @@ def test_manifest():
 def test_hostile_manifest(raw):
     with pytest.raises(manifest.Refused):
         manifest.parse(raw)
+
+
+def test_synthetic_project_resolves(spark):
+    from collections import Counter
+
+    from stratalens.sources import synthetic
+
+    rows = list(synthetic.project(300, depth=4))
+    assert rows == list(synthetic.project(300, depth=4)) and len(rows) == 300
+    parsed = java.parsed(spark.createDataFrame(rows, "path string, content string")).cache()
+    e = inheritance.edges(*(java.entity(parsed, x) for x in ("refs", "declarations", "imports")))
+    assert set(Counter(r.resolution for r in e.collect())) == {"resolved"}
+    links = e.filter("kind = 'extends'").selectExpr("source as src", "target as dst")
+    assert graph.ancestor_closure(links).agg({"depth": "max"}).first()[0] <= 3
