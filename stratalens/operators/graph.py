@@ -36,9 +36,11 @@ def assign_roles(links: DataFrame, role_types: DataFrame) -> DataFrame:
     path, then the better parent, its name and the edge's order. A node keeps its best label, from the strongest tier down.
     """
     best = cut_lineage(role_types.select("role", F.col("type").alias("node"), F.lit(4).alias("rank"), F.lit(0).alias("depth"), F.array("type").alias("path")))
-    for tier in (3, 2, 1):
+    ranks = {r.rank for r in links.select("rank").distinct().collect()}  # three at most
+    for tier in sorted(ranks, reverse=True):
+        front = best  # then only what has changed: the rest was tried before
         while True:
-            c = best.alias("b").join(links.alias("l"), F.col("b.node") == F.col("l.parent")).filter(F.least("b.rank", "l.rank") == tier)
+            c = front.alias("b").join(links.alias("l"), F.col("b.node") == F.col("l.parent")).filter(F.least("b.rank", "l.rank") == tier)
             c = c.filter(~F.array_contains("b.path", F.col("l.child"))).select(
                 "b.role", F.col("l.child").alias("node"), F.struct(
                     (F.col("b.depth") + 1).alias("depth"), (-F.col("b.rank")).alias("n"), F.col("l.parent").alias("p"), F.col("l.ord").alias("o"),
@@ -51,6 +53,7 @@ def assign_roles(links: DataFrame, role_types: DataFrame) -> DataFrame:
             if better.isEmpty():
                 break
             best = cut_lineage(best.join(better, ["role", "node"], "left_anti").unionByName(better))
+            front = better
     return best.filter("depth > 0").select("role", "node", F.col("rank").alias("confidence"), "depth", "path")
 
 

@@ -421,3 +421,15 @@ select p_partkey, regexp_matches(t, '[a-z]') and regexp_matches(t, '[A-Z]') and
 def high_entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.md5("p_name"), F.upper(F.substring(F.md5("p_brand"), 1, 12)), F.when(F.col("p_partkey") % 4 == 0, " x").otherwise(""))
     return table(spark, sf_dir, "part").filter("p_size >= 32").select("p_partkey", rules.high_entropy(t).alias("hit"))
+
+
+@query("""with o as (select 'k' || c_custkey as name, c_name || '/' || c_acctbal::decimal(18,2)::varchar as shape, c_custkey from customer),
+n as (select case when c_custkey % 2 = 0 then name else 'r' || c_custkey end as name, shape from o where c_custkey % 3 <> 0),
+gone as (select shape, min(name) as name from o where name not in (select name from n) group by shape having count(*) = 1),
+come as (select shape, min(name) as name from n where name not in (select name from o) group by shape having count(*) = 1)
+select gone.name as old_key, come.name as new_key from gone join come on gone.shape = come.shape""")
+def rename_pairs_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    old = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), k.cast("string")).alias("name"), F.concat_ws("/", "c_name", F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("shape"), k)
+    new = old.filter(k % 3 != 0).select(F.when(k % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("name"), "shape")
+    return diffing.rename_pairs(old.drop("c_custkey"), new, "name", ["shape"])
