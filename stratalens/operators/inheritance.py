@@ -51,3 +51,11 @@ def edges(refs: DataFrame, declarations: DataFrame, imports: DataFrame) -> DataF
     """(source, target, kind, reference, resolution, candidates, ord); an unknown target stays apart for each owner."""
     j = refs.join(resolved(refs, declarations, imports), ["owner", "name"])
     return j.select(F.col("owner").alias("source"), F.coalesce("target", F.concat(F.lit("?"), "owner", F.lit("::"), "name")).alias("target"), "kind", F.col("name").alias("reference"), F.col("status").alias("resolution"), "candidates", "ord")
+
+
+def uses(facts: DataFrame, declarations: DataFrame, imports: DataFrame) -> DataFrame:
+    """(source, target, line) of the project's types that a class refers to, by `uses` facts; not itself. Names that resolve
+    to one target give its first line."""
+    first = facts.filter("kind = 'uses'").groupBy("owner", "name").agg(F.min("line").alias("line"))
+    known = resolved(first, declarations, imports).filter("status = 'resolved' and target <> owner")
+    return first.join(known, ["owner", "name"]).groupBy(F.col("owner").alias("source"), "target").agg(F.min("line").alias("line"))

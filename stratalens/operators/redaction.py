@@ -11,7 +11,7 @@ from .lookup import ranked
 SHORTEST = 4
 #: A name that may be replaced: words joined by dots, slashes or dollar signs.
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[./$][A-Za-z_][A-Za-z0-9_]*)*"
-_HOST = r"(?i)\b(?:https?|wss?|ftp)://([^/\s:?#\"']+)"
+_HOST = r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/\s:'\"`?#\\]+)"
 
 
 def aliases(declarations: DataFrame, manifest_package: str | None = None) -> DataFrame:
@@ -50,6 +50,16 @@ def host_aliases(texts: DataFrame, order: str, text: str) -> DataFrame:
     return ranked(first, ["_f"]).select("host", F.concat(F.lit("host"), F.col("number").cast("string"), F.lit(".invalid")).alias("alias"))
 
 
+def hosts_replaced(texts: DataFrame, key: str, text: str, hosts: DataFrame) -> DataFrame:
+    """`texts` with the hosts of all URLs in `text` replaced by their alias (host, alias; hosts in lower case). No text holds U+0001."""
+    marked = F.regexp_replace(text, "(" + _HOST.replace("(", ")(", 1), "$1\u0001$2\u0001")
+    pieces = texts.select(F.col(key).alias("_k"), F.posexplode(F.split(marked, "\u0001")).alias("_i", "piece"))
+    named = F.when(F.col("_i") % 2 == 1, F.lower("piece"))  # what lies between the marks
+    new = pieces.withColumn("host", named).join(hosts, "host", "left").withColumn("t", F.coalesce("alias", "piece"))
+    whole = new.groupBy("_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "t"))), lambda x: x["t"]), "").alias("_t"))
+    return texts.join(whole, F.col(key) == F.col("_k"), "left").withColumn(text, F.coalesce("_t", F.col(text))).drop("_k", "_t")
+
+
 def replaced(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """`texts` with every known name in `text` replaced by its alias; of several that fit, the longest counts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, evaluation, hierarchy, inheritance
+from ..operators import components, diffing, evaluation, hierarchy, inheritance
 from ..session import cut_lineage
 from ..sources import java, manifest
 from .queries import query
@@ -158,3 +158,40 @@ def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def application_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, values, _ = surface_of(spark)
     return components.app_flags(rows, values).select("flag", "value", "guess")
+
+
+#: Two versions of a project; in the second, o.a has become o.b, and o.c, which holds nothing telling, o.d.
+_SHARED = {
+    "m/Main.java": 'package m;\nimport o.*;\npublic class Main extends android.app.Activity {\n  Tool tool = new Tool();\n  void go(Part given) {\n    java.util.List<Part> all = null;\n    for (Part p = null; ; ) { Tool.run(); o.Part.cut(); tool.stop(); }\n  }\n}\n',
+    "o/Tool.java": "package o;\n/* JADX INFO: compiled from: Tool.kt */\n/* renamed from: x.y, reason: z */\n@Deprecated(since = \"1\")\npublic class Tool {\n  static void run() { new Tool(); }\n}\n",
+    "o/Part.java": "package o;\npublic class Part {\n  static void cut() { String s; m.Main main; }\n}\n"}
+_OLD = _SHARED | {"o/a.java": 'package o;\nclass a implements Runnable {\n  static final String KEY = "k1";\n}\n', "o/c.java": "package o;\nclass c {}\n"}
+_NEW = _SHARED | {"o/b.java": 'package o;\nclass b implements Runnable {\n  static final String KEY = "k1";\n}\n', "o/d.java": "package o;\nclass d {}\n"}
+
+
+def _version(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
+    parsed = cut_lineage(java.parsed(spark.createDataFrame(list(files.items()), "path string, content string")))
+    return {x: java.entity(parsed, x) for x in ("declarations", "refs", "facts", "imports")}
+
+
+@query(_values([("m.Main", "o.Tool", 4), ("m.Main", "o.Part", 7), ("o.Part", "m.Main", 3)], "source, target, line"))
+def java_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _version(spark, _OLD)
+    return inheritance.uses(v["facts"], v["declarations"], v["imports"])
+
+
+@query(_values([("m.Main", None, None), ("o.Tool", "x.y", "Tool.kt"), ("o.Part", None, None), ("o.a", None, None), ("o.c", None, None)], "id, original_name, source_file"))
+def java_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _version(spark, _OLD)["declarations"].select("id", "original_name", "source_file")
+
+
+@query(_values([("o.a", "o.b", "medium")], "old_id, new_id, confidence"))
+def java_renamed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def prints(files: dict[str, str]) -> DataFrame:
+        v = _version(spark, files)
+        edges = inheritance.edges(v["refs"], v["declarations"], v["imports"])
+        roles = hierarchy.project_roles(cut_lineage(hierarchy.parent_links(edges, v["declarations"].select("id"))), v["declarations"].select("id"))
+        none = spark.createDataFrame([], "class_id string, rule string")
+        return cut_lineage(diffing.fingerprints(v["declarations"], edges, roles, none, v["facts"].filter("kind = 'constant'").select(F.col("owner").alias("id"), "value")))
+
+    return diffing.renamed_classes(prints(_OLD), prints(_NEW), spark.createDataFrame([("m.Main",)], "id string"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import redaction
+from ..session import cut_lineage
 
 #: Findings of one severity in the Markdown report; the rest are in the JSON.
 LISTED = 200
@@ -18,6 +20,25 @@ def json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def anonymized(entities: dict[str, DataFrame], names: DataFrame, exempt: tuple[str, ...] = ("rules",)) -> dict[str, DataFrame]:
+    """(value) of each entity: its rows as JSON lines, in which every known name (name, alias) and every host is replaced,
+    in keys and values at any depth. Entities in `exempt` keep their words. Hosts count from 1 over all entities, by line.
+    """
+    lines = {k: json_rows(rows).withColumn("k", F.sha2("value", 256)) for k, rows in entities.items()}
+    every = None
+    for k in lines:
+        if k not in exempt:
+            every = lines[k] if every is None else every.unionByName(lines[k])
+    if every is None:
+        return {k: rows.select("value") for k, rows in lines.items()}
+    once = cut_lineage(every.distinct())
+    plain = redaction.hosts_replaced(once, "k", "value", cut_lineage(redaction.host_aliases(once, "value", "value")))
+    # a name after an escape must not run into its letter; `replaced` takes the marks out
+    apart = plain.withColumn("value", F.regexp_replace("value", r"(\\(?:u[0-9A-Fa-f]{4}|[^u]))", "\u0001$1\u0001"))
+    new = cut_lineage(redaction.replaced(apart, "k", "value", names))
+    return {k: rows.select("value") if k in exempt else rows.select("k").join(new, "k").select("value") for k, rows in lines.items()}
+
+
 def export(entities: dict[str, DataFrame], path: str, version: int = 1) -> None:
     """One folder of JSON lines for each entity, and the version."""
     for name, rows in entities.items():

@@ -5,12 +5,14 @@ scope or closes one too many is marked partial, and its good declarations stay.
 
 A call's receiver is described by its form (implicit, variable with its declared type, name, call, creation), an argument by its
 kind and literal value; a method by the shape of its body. Fields and constants count for their whole class, wherever they are
-declared: a first walk collects them, the second one uses them.
+declared: a first walk collects them, the second one uses them. Types that a class creates, declares variables of or calls static methods
+of are facts of kind `uses`, each once with its first line; string constants are facts of kind `constant`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +30,13 @@ _TOKEN = re.compile(
     r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>"""(?:\\.|.)*?(?:"""|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"?)|(?P<char>\'(?:\\.|[^\'\\\n])*\'?)'
     r"|(?P<num>0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|\d[\d_]*(?:\.\d+)?[a-zA-Z]*)|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<sign>\.\.\.|->|::|[^\s\w])", re.S)
 _TYPES = ("class", "interface", "enum", "record")
+#: Types that no `uses` fact names.
+PLAIN = frozenset("int long short byte char boolean float double void var String Object".split())
+#: Fixed forms of the comments that decompilers put above a declaration.
+_RENAMED = re.compile(r"/\*\s*(?:JADX INFO:\s*)?renamed from:\s*([^,*\s]+)")
+_COMPILED = re.compile(r"/\*\s*(?:JADX INFO:\s*)?compiled from:\s*([^*\s]+)")
 _KEYWORDS = frozenset("if for while switch catch synchronized return throw new super this assert else do try instanceof case".split())
-DECLARATIONS = "path string, ord int, id string, name string, package string, owner string, kind string, abstract boolean, line int, end_line int, declaration string, original_name string, partial boolean"
+DECLARATIONS = "path string, ord int, id string, name string, package string, owner string, kind string, abstract boolean, line int, end_line int, declaration string, original_name string, source_file string, partial boolean"
 REFS = "owner string, ord int, name string, kind string"
 _RECEIVER = "kind string, name string, type string, method string, inner_kind string, inner_name string"
 _ARGUMENT = "kind string, sval string, ival bigint, bval boolean, text string, constant string"
@@ -57,6 +64,7 @@ class Declaration:
     end_line: int
     declaration: str
     original_name: str | None
+    source_file: str | None
     refs: list[tuple[str, str]] = field(default_factory=list)
 
 
@@ -134,6 +142,8 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
     unit = Unit()
     tokens = [t for t in everything if t.kind != "comment"]
     notes = [t for t in everything if t.kind == "comment"]
+    note_places = [t.at for t in notes]
+    used: set[tuple[str, str]] = set()
     stack: list[Declaration | Anonymous | None] = []  # a type, an anonymous body, None for any other brace
     scopes: list[tuple[int, dict[str, str]]] = []  # of each open brace: its place, and the variables declared in it
     coming: dict[str, str] = {}  # variables declared in brackets, for the brace that follows
@@ -169,6 +179,12 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
             unit.facts.append({"owner": o.id, "kind": kind, "line": t.line, "end_line": t.line, "anonymous": bool(above), "anonymous_type": above[-1].type if above else None, "method": None, "name": None,
                                "receiver": None, "value": None, "args": None, "body": None, "calls": None, "snippet": source[start : end if end >= 0 else len(source)].strip()[:400]} | more)
 
+    def use(name: str, t: Token) -> None:
+        name, o = name.replace("[]", ""), owner()
+        if second and o and name and name not in PLAIN and name != o.name and (o.id, name) not in used:
+            used.add((o.id, name))
+            fact("uses", t, name=name)
+
     while i < len(tokens):
         t = tokens[i]
         before = tokens[i - 1].text if i else ""
@@ -220,9 +236,12 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
                 first -= 1
             o = owner()
             full = f"{o.id}.{nxt}" if o else f"{unit.package}.{nxt}" if unit.package else nxt
-            note = next((m[1] for n in reversed(notes) if n.at < tokens[first].at and not [x for x in tokens[:first] if x.at > n.at] for m in [re.search(r"renamed from:\s*([\w.$/]+)", n.text)] if m), None)
+            top = _with_annotations(tokens, first)
+            low = bisect_right(note_places, tokens[top - 1].at) if top else 0
+            close = [n.text for n in notes[low : bisect_left(note_places, tokens[top].at)]]
+            note, origin = (next((m[1] for n in reversed(close) for m in [form.search(n)] if m), None) for form in (_RENAMED, _COMPILED))
             d = Declaration(full, nxt, o.id if o else None, kind, kind == "interface" or "abstract" in {x.text for x in tokens[first:i]}, t.line, t.line,
-                            source[tokens[first].at : tokens[j].at if j < len(tokens) else len(source)].strip(), note, refs)
+                            source[tokens[first].at : tokens[j].at if j < len(tokens) else len(source)].strip(), note, origin, refs)
             waiting = None if local else d
             if local:
                 waiting = Anonymous(None)
@@ -251,6 +270,7 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
         elif t.text == "new" and tokens[i + 1 : i + 2] and tokens[i + 1].kind == "word":
             name, j = _name(tokens, i + 1)
             if j < len(tokens) and tokens[j].text == "(":
+                use(name, t)
                 if second:
                     fact("new", t, name=name, args=_arguments(tokens, j, literals()))
                 k = _skip(tokens, j, "(", ")")
@@ -263,6 +283,7 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
             declares = isinstance(stack[-1], (Declaration, Anonymous))
             after = _skip(tokens, i + 1, "(", ")")
             if not (declares and i and (tokens[i - 1].kind == "word" or before in (">", "]"))):
+                use(_static_receiver(tokens, i), t)
                 if second:
                     fact("call", t, method=t.text, name=t.text, receiver=X.receiver(tokens, i, type_of), args=_arguments(tokens, i + 1, literals()))
             elif second:
@@ -277,12 +298,17 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
             if nxt == "->":
                 declared = "?"
             if declared and stack:
+                if declared != "?" and (not paren or (nxt == "=" and _opens_for(tokens, i))):
+                    use(declared, t)
                 if paren or not scopes:
                     coming[t.text] = declared
                 elif stack[-1] is not None:
                     at = scopes[-1][0]
                     fields.setdefault(at, {}).setdefault(t.text, declared)
-                    _constant(tokens, i, constants.setdefault(at, {}))
+                    own = constants.setdefault(at, {})
+                    _constant(tokens, i, own)
+                    if second and own.get(t.text, {}).get("kind") == "string" and isinstance(stack[-1], Declaration):
+                        fact("constant", t, name=t.text, value=own[t.text]["sval"])
                 else:
                     scopes[-1][1][t.text] = declared
             elif t.text.isupper() and len(t.text) > 2 and second:
@@ -297,6 +323,40 @@ def _walk(source: str, everything: list[Token], fields: dict[int, dict[str, str]
     return unit
 
 
+def _with_annotations(tokens: list[Token], first: int) -> int:
+    """Place of the first annotation that stands before the modifiers at `first`."""
+    while first:
+        k = first - 1
+        if tokens[k].text == ")":
+            k = X.before_bracket(tokens, k) - 1
+        while k > 1 and tokens[k].kind == "word" and tokens[k - 1].text == ".":
+            k -= 2
+        if k < 1 or tokens[k].kind != "word" or tokens[k - 1].text != "@":
+            if tokens[first - 1].kind != "word":
+                return first
+            k = first  # a modifier
+        first = k - 1
+    return first
+
+
+def _static_receiver(tokens: list[Token], i: int) -> str:
+    """The dotted name before the method at i, where it can name a type: a capital or a dot in it; else empty."""
+    k, parts = i, []
+    while k > 1 and tokens[k - 1].text == "." and tokens[k - 2].kind == "word":
+        parts.append(tokens[k - 2].text)
+        k -= 2
+    if k and tokens[k - 1].text in (".", "::"):
+        return ""  # begins with a call or a bracket
+    return ".".join(reversed(parts)) if len(parts) > 1 or (parts and parts[0][:1].isupper()) else ""
+
+
+def _opens_for(tokens: list[Token], i: int) -> bool:
+    """True if the variable at i is declared in the head of a `for`."""
+    while i and (tokens[i].kind == "word" or tokens[i].text in "<>,.[]?&"):
+        i -= 1
+    return i > 0 and tokens[i].text == "(" and tokens[i - 1].text == "for"
+
+
 def _constant(tokens: list[Token], i: int, found: dict[str, dict]) -> None:
     """The literal of a static final field declared at i."""
     if tokens[i + 1].text != "=":
@@ -355,7 +415,7 @@ def _parsed(files: DataFrame, keep: str, ddl_of_kept: str) -> DataFrame:
             for file in batch.to_pylist():
                 path, u = file["path"], parse(file["content"] or "")
                 row = {c: file[c] for c in kept} | {
-                    "declarations": [{"path": path, "ord": k, "package": u.package, "partial": u.partial} | {x: getattr(d, x) for x in ("id", "name", "owner", "kind", "abstract", "line", "end_line", "declaration", "original_name")} for k, d in enumerate(u.declarations)],
+                    "declarations": [{"path": path, "ord": k, "package": u.package, "partial": u.partial} | {x: getattr(d, x) for x in ("id", "name", "owner", "kind", "abstract", "line", "end_line", "declaration", "original_name", "source_file")} for k, d in enumerate(u.declarations)],
                     "refs": [{"owner": d.id, "ord": k, "name": n, "kind": kind} for d in u.declarations for k, (n, kind) in enumerate(d.refs)],
                     "facts": [f | {"ord": k} for k, f in enumerate(u.facts)],
                     "imports": [{"path": path, "simple": s, "fqn": n, "wildcard": w} for s, n, w in u.imports]}

@@ -1,5 +1,7 @@
 """Reports, exports and views on small inputs."""
 
+import json
+
 import pytest
 
 from stratalens.operators import components, evaluation, graph, overview
@@ -59,3 +61,14 @@ def test_locate(tmp_path):
 def test_refused_manifests_are_rows(spark):
     got = manifest.manifests(spark.createDataFrame([("a", bytearray(b"<a")), ("b", bytearray(b"<manifest package='p'/>"))], "project string, content binary")).collect()
     assert {r.project: (r.error or "")[:3] for r in got} == {"a": "not", "b": ""}
+
+
+def test_anonymized_lines_keep_no_name(spark):
+    names = spark.createDataFrame([("com.shop.Cart", "pkg01.Class0001"), ("com.shop", "pkg01")], "name string, alias string")
+    text = 'a\ncom.shop.Cart"com.shop http://Api.shop.io:80/com.shop'
+    nodes = spark.createDataFrame([("com.shop.Cart", {"com.shop.Cart": [text]})], "id string, deep map<string, array<string>>")
+    out = reports.anonymized({"nodes": nodes.unionByName(nodes), "rules": nodes, "none": nodes.limit(0)}, names)
+    got = [r.value for r in out["nodes"].collect()]
+    assert len(got) == 2 and len(set(got)) == 1 and out["none"].isEmpty()
+    assert json.loads(got[0]) == {"id": "pkg01.Class0001", "deep": {"pkg01.Class0001": ['a\npkg01.Class0001"pkg01 http://host1.invalid:80/pkg01']}}
+    assert "com.shop.Cart" in out["rules"].first().value
