@@ -19,13 +19,26 @@ def aliases(declarations: DataFrame, manifest_package: str | None = None) -> Dat
 
     Numbers come from counts of the ranges before a name, so that no window has to hold all names at once.
     """
+    return _aliases(declarations, manifest_package).filter(F.length("name") >= SHORTEST)
+
+
+def _aliases(declarations: DataFrame, manifest_package: str | None) -> DataFrame:
     packages = declarations.select("package")
     if manifest_package:
         packages = packages.unionByName(packages.sparkSession.createDataFrame([(manifest_package,)], "package string"))
     p = _numbered(packages.filter("package <> ''").distinct(), "package").select("package", F.concat(F.lit("pkg"), _padded("number", 2)).alias("p"))
     c = _numbered(declarations.select("id", "package").distinct(), "id").join(p, "package", "left")
     classes = c.select(F.col("id").alias("name"), F.concat(F.coalesce(F.concat("p", F.lit(".")), F.lit("")), F.lit("Class"), _padded("number", 4)).alias("alias"))
-    return p.select(F.col("package").alias("name"), F.col("p").alias("alias")).unionByName(classes).filter(F.length("name") >= SHORTEST)
+    return p.select(F.col("package").alias("name"), F.col("p").alias("alias")).unionByName(classes)
+
+
+def report_aliases(declarations: DataFrame, manifest_package: str | None = None) -> DataFrame:
+    """As `aliases`, with short ones too, and the simple names (name) of SHORTEST letters or more of the first class that has each."""
+    every = _aliases(declarations, manifest_package)
+    own = declarations.select(F.col("id"), F.col("name").alias("simple")).join(every.withColumnRenamed("name", "id"), "id")
+    simple = own.filter(F.length("simple") >= SHORTEST).groupBy("simple").agg(F.min(F.struct("id", "alias")).alias("x"))
+    simple = simple.select(F.col("simple").alias("name"), F.substring_index("x.alias", ".", -1).alias("alias")).join(every, "name", "left_anti")
+    return every.unionByName(simple).dropDuplicates(["name"])
 
 
 def _padded(number: str, width: int) -> Column:
@@ -63,16 +76,27 @@ def hosts_replaced(texts: DataFrame, key: str, text: str, hosts: DataFrame) -> D
 def replaced(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """`texts` with every known name in `text` replaced by its alias; of several that fit, the longest counts.
 
-    A text is cut into names and what lies between. Every leading part of a name is looked up by an equi-join, so that the
-    names need not fit into one pattern. Slashes and dollar signs count as dots.
+    A text is cut into dotted words and what lies between. In a dotted word, names are replaced from left to right, the longest
+    first, wherever one of its parts begins; they are found by an equi-join, so that the names need not fit into one pattern.
+    Slashes and dollar signs count as dots.
     """
+    most = names.agg(F.max(F.size(F.split("name", r"\.")))).first()[0]
+    if most is None:
+        return texts
     marked = F.regexp_replace(text, f"({_NAME})", "\u0001$1\u0001")
     pieces = texts.select(F.col(key).alias("_k"), F.posexplode(F.split(marked, "\u0001")).alias("_i", "piece"))
-    parts = F.split(F.translate("piece", "/$", ".."), r"\.")
-    leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    known = (pieces.filter(F.col("piece").rlike(f"^{_NAME}$")).select("piece").distinct().select("piece", F.explode(leads).alias("name"))
-             .join(names, "name").groupBy("piece").agg(F.max(F.struct(F.length("name").alias("n"), "alias")).alias("_a")))
-    new = F.when(F.col("_a").isNull(), F.col("piece")).otherwise(F.concat("_a.alias", F.expr("substring(piece, _a.n + 1)")))
+    words = pieces.filter(F.col("piece").rlike(f"^{_NAME}$")).select("piece").distinct().withColumn("parts", F.split(F.translate("piece", "/$", ".."), r"\."))
+    begins = words.select("piece", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("i"))
+    at = F.length(F.array_join(F.slice("parts", F.lit(1), F.col("i")), ".")) + (F.col("i") > 0).cast("int")
+    spans = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("parts") - F.col("i"))), lambda n: F.array_join(F.slice("parts", F.col("i") + 1, n), "."))
+    longest = (begins.select("piece", at.alias("at"), F.explode(spans).alias("name")).join(names, "name")
+               .groupBy("piece", "at").agg(F.max(F.struct(F.length("name").alias("n"), "alias")).alias("a")))
+    listed = longest.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("at", "a.n", "a.alias"))).alias("_a"))
+    rest = lambda begin, n: F.substring(F.col("piece"), begin + 1, n)
+    step = lambda s, x: F.when(x["at"] >= s["p"], F.struct(F.concat(s["t"], rest(s["p"], x["at"] - s["p"]), x["alias"]).alias("t"), (x["at"] + x["n"]).alias("p"))).otherwise(s)
+    made = F.aggregate("_a", F.struct(F.lit("").alias("t"), F.lit(0).alias("p")), step, lambda s: F.concat(s["t"], rest(s["p"], F.length("piece"))))
+    known = listed.select("piece", made.alias("_new"))
+    new = F.coalesce("_new", "piece")
     whole = (pieces.join(known, "piece", "left").groupBy("_k")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", new.alias("t")))), lambda x: x["t"]), "").alias("_t")))
     return texts.join(whole, F.col(key) == F.col("_k"), "left").withColumn(text, F.coalesce("_t", F.col(text))).drop("_k", "_t")

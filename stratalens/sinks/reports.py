@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,7 +12,7 @@ from ..session import cut_lineage
 #: Findings of one severity in the Markdown report; the rest are in the JSON.
 LISTED = 200
 #: Categories that may end a comparison with exit code 2.
-FAIL_ON = ("exported-changed", "component-added", "permission-added", "permission-removed", "finding-high", "finding-medium", "app-flag", "deeplink-added")
+FAIL_ON = ("exported-added", "component-added", "permission-added", "deeplink-added", "app-flag", "finding-added")
 
 
 def json_rows(rows: DataFrame) -> DataFrame:
@@ -41,10 +41,14 @@ def anonymized(entities: dict[str, DataFrame], names: DataFrame, exempt: tuple[s
 
 def export(entities: dict[str, DataFrame], path: str, version: int = 1) -> None:
     """One folder of JSON lines for each entity, and the version."""
-    for name, rows in entities.items():
-        json_rows(rows).write.mode("overwrite").text(f"{path}/{name}")
-    spark = next(iter(entities.values())).sparkSession
-    spark.createDataFrame([(version, sorted(entities))], "schema_version int, entities array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/index")
+    write_lines(next(iter(entities.values())).sparkSession, {k: json_rows(rows) for k, rows in entities.items()}, path, version)
+
+
+def write_lines(spark: SparkSession, lines: dict[str, DataFrame], path: str, version: int = 1) -> None:
+    """One folder for the lines (value) of each entity, and the version."""
+    for name, rows in lines.items():
+        rows.write.mode("overwrite").text(f"{path}/{name}")
+    spark.createDataFrame([(version, sorted(lines))], "schema_version int, entities array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/index")
 
 
 def payload_bytes(entities: dict[str, DataFrame]) -> int:
@@ -90,9 +94,16 @@ def difference(title: str, changes: DataFrame) -> str:
     return "\n".join([f"# {title}", "", "| Change | Item | Before | After |", "|-|-|-|-|", *[r.x for r in rows], ""])
 
 
-def exit_code(changes: DataFrame, fail_on: str) -> int:
-    """2 if a change has one of the comma-separated kinds, else 0; an unknown kind is an error."""
+def wanted_categories(fail_on: str) -> set[str]:
+    """The comma-separated categories; an unknown one is an error."""
     wanted = {c.strip() for c in fail_on.split(",") if c.strip()}
     if wanted - set(FAIL_ON):
         raise ValueError(f"unknown categories: {', '.join(sorted(wanted - set(FAIL_ON)))}")
-    return 2 if wanted and not changes.filter(F.col("kind").isin(*wanted)).limit(1).isEmpty() else 0
+    return wanted
+
+
+def exit_code(changes: DataFrame, fail_on: str) -> int:
+    """2 if a change has one of the comma-separated categories among its triggers (its kind, where it has none), else 0."""
+    wanted = wanted_categories(fail_on)
+    hit = F.arrays_overlap("triggers", F.array(*map(F.lit, sorted(wanted)))) if "triggers" in changes.columns else F.col("kind").isin(*wanted)
+    return 2 if wanted and not changes.filter(hit).limit(1).isEmpty() else 0
