@@ -300,13 +300,13 @@ def component_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffing.field_changes(side(_HALVES[0]), side(_HALVES[1]), "o_custkey", ["orders", "priority", "status"])
 
 
-@query(r"""with d as (select source, sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))[1:12] as identity from documents),
-o as (select identity, count(*) as o from d where source = 'src0' group by 1), n as (select identity, count(*) as n from d where source = 'src1' group by 1),
+@query(r"""with d as (select doc_id % 2 as side, sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))[1:12] as identity from documents),
+o as (select identity, count(*) as o from d where side = 0 group by 1), n as (select identity, count(*) as n from d where side = 1 group by 1),
 j as (select coalesce(o.identity, n.identity) as identity, coalesce(o, 0) as o, coalesce(n, 0) as n from o full join n on o.identity = n.identity)
 select identity, greatest(n - o, 0) as added, greatest(o - n, 0) as removed from j where o <> n""")
 def finding_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", S.snippet_digest(F.col("text")).alias("identity"))
-    return diffing.multiset_difference(d.filter("source = 'src0'"), d.filter("source = 'src1'"), ["identity"])
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("side"), S.snippet_digest(F.col("text")).alias("identity"))
+    return diffing.multiset_difference(d.filter("side = 0"), d.filter("side = 1"), ["identity"])
 
 
 @query("""with o as (select p_name as key, p_type, p_size from part where p_partkey % 2 = 0), n as (select p_name as key, p_type, p_size from part where p_partkey % 2 = 1),
