@@ -1,15 +1,18 @@
 """Exact sums of counts by hash over all batches of a corpus, with a fixed fan-out.
 
 A batch is one row: its sorted distinct hashes and, in the same order, their counts. Each batch learns the sums of its own
-hashes over all batches. The hash space is cut into ranges of about `BUCKET` hashes. Up to `FAN` ranges, every batch sends
-one message to each. Beyond that the work goes by levels: a batch sends one message to each of `FAN` wide ranges, groups of
-about `FAN` batches merge there into one, and what they merge into is cut again. So the messages of a level are
-`FAN` a batch, however many batches there are, and no task holds more than about a bucket or a batch. A hash that stands in
-many documents is one number in each batch's message, so no hash is hot.
+hashes over all batches. The hash space is cut into ranges, and every batch sends one message to each: ranges of about
+`BUCKET` hashes up to `FAN` of them, then `FAN` wider ones, up to `SHARE` buckets each. A range's task holds its messages in
+narrow arrays and adds them up about `BUCKET` hashes at a time. Beyond that the work goes by levels of an even fan-out f, at
+most `FAN`: a batch sends one message to each of f wide ranges, groups of about f batches merge there into one, and what they
+merge into is cut again. A merged message is thus about as large as a batch, whatever f is. The messages of a level
+are f a batch, however many batches there are, and no task holds more than about `SHARE` buckets or a batch. A hash that stands
+in many documents is one number in each batch's message, so no hash is hot.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 
-FAN = 512
+FAN = 1024
 BUCKET = 1 << 20
+SHARE = 8
 _U = np.uint64
 
 
@@ -46,6 +50,13 @@ def unpacked_hashes(b: bytes) -> np.ndarray:
     return np.cumsum(unpacked(b, "<u8"), dtype=_U)
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system; idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 Message = tuple[np.ndarray, list[np.ndarray]]
 
 
@@ -64,31 +75,51 @@ def _split(n: int, step: int, names: list[str], message: Callable[[dict], Messag
                 part = ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64) // step
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 pieces = [(int(part[a]), row["batch"], packed_hashes(h[a:b]), *[packed(c[a:b]) for c in counts]) for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True)]
+                del row, h, counts, part
                 if pieces:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*pieces, strict=True))], names=["part", "batch", "h", *names])
+                del pieces
+                trim()
 
     return run
 
 
-def _summed(rows: list[dict], names: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Distinct hashes of the messages, their sums, and the place of each message's hashes among them."""
-    hs = [unpacked_hashes(r["h"]) for r in rows]
-    u, inv = np.unique(np.concatenate(hs), return_inverse=True)
-    sums = []
-    for c in names:
-        s = np.zeros(len(u), np.int64)
-        np.add.at(s, inv, np.concatenate([unpacked(r[c], "<u8") for r in rows]).astype(np.int64))
-        sums.append(s)
-    ends = np.cumsum([0, *map(len, hs)])
-    return u, sums, [inv[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _messages(table: pa.Table, names: list[str]) -> list[Message]:
+    columns = [table.column(c) for c in ["h", *names]]
+    return [(unpacked_hashes(h.as_py()), [_narrow(unpacked(c.as_py(), "<u8")) for c in counts]) for h, *counts in zip(*columns, strict=True)]
+
 
+def _summed(messages: list[Message], bucket: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """For about `bucket` hashes at a time, ascending: the distinct ones, their sums, and the place of each message's hashes among them."""
+    lo, hi = int(min(h[0] for h, _ in messages)), int(max(h[-1] for h, _ in messages))
+    k = -(-sum(len(h) for h, _ in messages) // bucket)
+    edges = np.array([lo + (hi - lo) * j // k for j in range(1, k)], _U)
+    cuts = [[0, *np.searchsorted(h, edges).tolist(), len(h)] for h, _ in messages]
+    for j in range(k):
+        slices = [slice(*c[j : j + 2]) for c in cuts]
+        u, inv = np.unique(np.concatenate([h[x] for (h, _), x in zip(messages, slices, strict=True)]), return_inverse=True)
+        sums = []
+        for i in range(len(messages[0][1])):
+            s = np.zeros(len(u), np.int64)
+            np.add.at(s, inv, np.concatenate([c[i][x] for (_, c), x in zip(messages, slices, strict=True)]).astype(np.int64))
+            sums.append(s)
+        ends = np.cumsum([0, *[x.stop - x.start for x in slices]])
+        yield u, sums, [inv[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-def _answers(rows: list[dict], names: list[str], sums: list[np.ndarray], places: list[np.ndarray], kinds: int) -> pa.Table:
+
+def _answers(table: pa.Table, names: list[str], found: list[list[list[np.ndarray]]], kinds: int) -> pa.Table:
+    """The rows for the messages of `table`, from the pieces `found` of each name and message."""
+    trim()
     return pa.table({
-        "batch": pa.array([r["batch"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()),
-        "kinds": pa.array([kinds if i == 0 else 0 for i in range(len(rows))], pa.int64()),  # once for all messages of a range
-        **{c: pa.array([packed(s[p].astype(np.uint64)) for p in places], pa.binary()) for c, s in zip(names, sums, strict=True)}})
+        "batch": table.column("batch"), "part": table.column("part"),
+        "kinds": pa.array([kinds if i == 0 else 0 for i in range(table.num_rows)], pa.int64()),  # once for all messages of a range
+        **{c: pa.array([packed(np.concatenate(x).astype(_U)) for x in pieces], pa.binary()) for c, pieces in zip(names, found, strict=True)}})
 
 
 def totals(batches: DataFrame, names: list[str], hashes: int, n_batches: int, message: Callable[[dict], Message] | None = None) -> DataFrame:
@@ -98,39 +129,56 @@ def totals(batches: DataFrame, names: list[str], hashes: int, n_batches: int, me
     hashes and counts (uint64) from; `hashes`: about their number over all batches.
     `kinds` adds up to the number of distinct hashes below 2^63 that have a count above 0.
     """
-    n, step = max(1, -(-hashes // BUCKET)), 1
-    while step * FAN < n:
-        step *= FAN
-    return _level(batches if message else batches.select("batch", "h", *names), names, n, step, n_batches, message or _message(names))
-
-
-def _level(batches: DataFrame, names: list[str], n: int, step: int, n_batches: int, message: Callable[[dict], Message]) -> DataFrame:
+    n, levels, fan = max(1, -(-hashes // BUCKET)), 1, 2
+    if n > FAN:
+        n = max(FAN, -(-hashes // (BUCKET * SHARE)))
+    while FAN**levels < n:
+        levels += 1
+    while fan**levels < n:
+        fan += 1
+    return _level(batches if message else batches.select("batch", "h", *names), names, n, fan, levels, n_batches, message or _message(names))
+
+
+def _level(batches: DataFrame, names: list[str], n: int, fan: int, levels: int, n_batches: int, message: Callable[[dict], Message]) -> DataFrame:
+    step = fan ** (levels - 1)
     binary = lambda xs: "".join(f", {c} binary" for c in xs)
     sent = batches.mapInArrow(_split(n, step, names, message), f"part long, batch long{binary(['h', *names])}")
     back = f"batch long, part long, kinds long{binary(names)}"
     if step == 1:
 
         def add(table: pa.Table) -> pa.Table:
-            rows = table.to_pylist()
-            u, sums, places = _summed(rows, names)
-            return _answers(rows, names, sums, places, int(((sum(sums) > 0) & (u < _U(1 << 63))).sum()))
+            messages, kinds = _messages(table, names), 0
+            found = [[[] for _ in messages] for _ in names]
+            for u, sums, places in _summed(messages, BUCKET):
+                kinds += int(((sum(sums) > 0) & (u < _U(1 << 63))).sum())
+                for s, pieces in zip(sums, found, strict=True):
+                    for x, p in zip(pieces, places, strict=True):
+                        x.append(_narrow(s[p]))
+            del messages, u, sums, places
+            return _answers(table, names, found, kinds)
 
         return sent.groupBy("part").applyInArrow(add, back)
-    groups = max(1, -(-n_batches // FAN))
+    groups = max(1, -(-n_batches // fan))
     sent = materialize(sent.withColumn("grp", F.pmod(F.xxhash64("batch"), F.lit(groups))), "sent")
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        u, sums, _ = _summed(table.to_pylist(), names)
-        return pa.table({"batch": pa.array([key[0].as_py() * groups + key[1].as_py()], pa.int64()), "h": pa.array([packed_hashes(u)], pa.binary()),
-                         **{c: pa.array([packed(s.astype(np.uint64))], pa.binary()) for c, s in zip(names, sums, strict=True)}})
-
-    def give_back(_: tuple, messages: pa.Table, answers: pa.Table) -> pa.Table:
-        rows, above = messages.to_pylist(), sorted(answers.to_pylist(), key=lambda r: r["part"])
-        _, _, places = _summed(rows, [])
-        sums = [np.concatenate([unpacked(r[c], "<u8") for r in above]) for c in names]
-        return _answers(rows, names, sums, places, sum(r["kinds"] for r in above))
+        us, sums = zip(*[(u, x) for u, x, _ in _summed(_messages(table, names), BUCKET)], strict=True)
+        return pa.table({"batch": pa.array([key[0].as_py() * groups + key[1].as_py()], pa.int64()), "h": pa.array([packed_hashes(np.concatenate(us))], pa.binary()),
+                         **{c: pa.array([packed(np.concatenate(x).astype(_U))], pa.binary()) for c, x in zip(names, zip(*sums, strict=True), strict=True)}})
+
+    def give_back(_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        above, at = answers.sort_by("part"), 0
+        sums = [np.concatenate([unpacked(x.as_py(), "<u8") for x in above.column(c)]) for c in names]
+        messages = _messages(table, [])
+        found = [[[] for _ in messages] for _ in names]
+        for u, _, places in _summed(messages, BUCKET):
+            for s, pieces in zip(sums, found, strict=True):
+                for x, p in zip(pieces, places, strict=True):
+                    x.append(_narrow(s[at + p]))
+            at += len(u)
+        return _answers(table, names, found, sum(above.column("kinds").to_pylist()))
 
     merged = materialize(sent.groupBy("part", "grp").applyInArrow(merge, f"batch long{binary(['h', *names])}"), "merged")
-    above = _level(merged, names, n, step // FAN, groups, _message(names)).select(
+    above = _level(merged, names, n, fan, levels - 1, groups, _message(names)).select(
         F.expr(f"batch div {groups}").alias("up"), F.expr(f"batch % {groups}").alias("grp"), "part", "kinds", *names)
     return sent.groupBy("part", "grp").cogroup(above.groupBy("up", "grp")).applyInArrow(give_back, back)

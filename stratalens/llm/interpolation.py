@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._counts import packed, totals, unpacked
-from ._shared import materialize, ship, small_slices, texts
+from ._counts import packed, totals, trim, unpacked
+from ._shared import materialize, ship, shuffles_dropped, small_slices, texts
 
 #: Characters of text in a batch.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 BUCKETS_OF_CONTEXT = 24
 #: Steps of an octave to which estimates are rounded for the learning of weights.
 STEPS = 8
@@ -62,6 +62,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [(TaskContext.get().partitionId() << 32) + seq, packed(np.array([i or 0 for i in ids], np.int64)) , packed(words), packed(np.concatenate(tokens).astype(np.uint32)), packed(ends), packed(np.where(known == 1, part, part + 8).astype(np.uint8))]
         seq, chars = seq + 1, 0
         ids.clear(), place.clear(), tokens.clear()
+        trim()
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(row)], names=["batch", "ids", "words", "tokens", "ends", "part"])
 
     for batch in small_slices(batches):
@@ -152,6 +153,7 @@ def _histogram(n: int):
     """How often the deleted tokens have a (bucket, bigram estimate, unigram estimate), in rounded logarithms."""
 
     def run(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
+        trim()
         b = _Batch(encoded.to_pylist()[0])
         words, pairs = _known(b, back.to_pylist(), ("kept",))
         ctx, f2, f1 = _estimates(b, words, pairs, n)
@@ -186,6 +188,7 @@ def learn_weights(rows: list[tuple[int, int, int, int]], vocabulary: int) -> np.
 
 def _scores(n: int, vocabulary: int, weights: np.ndarray):
     def run(_: tuple, encoded: pa.Table, back: pa.Table) -> pa.Table:
+        trim()
         b = _Batch(encoded.to_pylist()[0])
         words, pairs = _known(b, back.to_pylist(), ("kept", "deleted"))
         ctx, f2, f1 = _estimates(b, words, pairs, n)
@@ -206,13 +209,14 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     """The contract's columns of every row."""
     spark = documents.sparkSession
     ship(spark)
-    encoded = materialize(documents.select("doc_id", "text").mapInArrow(_encode, _ENCODED), "lm-batches")
-    n_batches, hashes, n_kept, n_deleted = encoded.select("part", "ends").mapInArrow(_sizes, "hashes long, n_kept long, n_deleted long").agg(
-        F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("hashes", "n_kept", "n_deleted")]).first()
-    back = materialize(totals(encoded, ["kept", "deleted"], hashes, n_batches, _message), "lm-counts")
-    n, vocabulary = n_kept + n_deleted, int(back.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
     both = lambda f, schema: encoded.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(f, schema)
-    # at most BUCKETS_OF_CONTEXT x (bins of an estimate) ^ 2 rows; in practice some thousands
-    hist = both(_histogram(n_kept), "ctx long, q2 long, q1 long, m long").groupBy("ctx", "q2", "q1").agg(F.sum("m").alias("m")).orderBy("ctx", "q2", "q1")
-    weights = learn_weights([tuple(r) for r in hist.collect()], vocabulary)
+    with shuffles_dropped(spark):
+        encoded = materialize(documents.select("doc_id", "text").mapInArrow(_encode, _ENCODED), "lm-batches")
+        n_batches, hashes, n_kept, n_deleted = encoded.select("part", "ends").mapInArrow(_sizes, "hashes long, n_kept long, n_deleted long").agg(
+            F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("hashes", "n_kept", "n_deleted")]).first()
+        back = materialize(totals(encoded, ["kept", "deleted"], hashes, n_batches, _message), "lm-counts")
+        n, vocabulary = n_kept + n_deleted, int(back.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
+        # at most BUCKETS_OF_CONTEXT x (bins of an estimate) ^ 2 rows; in practice some thousands
+        hist = both(_histogram(n_kept), "ctx long, q2 long, q1 long, m long").groupBy("ctx", "q2", "q1").agg(F.sum("m").alias("m")).orderBy("ctx", "q2", "q1")
+        weights = learn_weights([tuple(r) for r in hist.collect()], vocabulary)
     return both(_scores(n, vocabulary, weights), OUT)
