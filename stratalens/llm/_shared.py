@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLICE_ROWS = 256
 #: The largest count of 8-byte ids that is sent to every executor.
 BROADCAST_IDS = 500_000
+#: Parquet's vectored reads, on by default, hold what they read in direct buffers that their threads keep, outside the heap.
+VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +43,13 @@ def hash_bucket(col: Column | str, n: int, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit(""))) % modulus == n
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later steps neither recompute it nor depend on lost executors."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back, with `options`: later steps neither recompute it nor depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).options(**options).parquet(path)
     out._scratch_path = path
     return out
 
@@ -59,15 +61,19 @@ def release(*frames: DataFrame) -> None:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries made and run in here leave no shuffle files; else those stay until the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Queries made and run in here have `key` set to `value`."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries made and run in here leave no shuffle files; else those stay until the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def small_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._counts import packed, totals, trim, unpacked
-from ._shared import materialize, ship, shuffles_dropped, small_slices, texts
+from ._shared import VECTORED, materialize, setting, ship, shuffles_dropped, small_slices, texts
 
 #: Characters of text in a batch.
 BATCH_CHARS = 4_000_000
@@ -210,11 +210,12 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     both = lambda f, schema: encoded.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(f, schema)
-    with shuffles_dropped(spark):
-        encoded = materialize(documents.select("doc_id", "text").mapInArrow(_encode, _ENCODED), "lm-batches")
+    plain = {VECTORED: "false"}  # for the scores too, which are computed after this function
+    with shuffles_dropped(spark), setting(spark, VECTORED, "false"):
+        encoded = materialize(documents.select("doc_id", "text").mapInArrow(_encode, _ENCODED), "lm-batches", **plain)
         n_batches, hashes, n_kept, n_deleted = encoded.select("part", "ends").mapInArrow(_sizes, "hashes long, n_kept long, n_deleted long").agg(
             F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("hashes", "n_kept", "n_deleted")]).first()
-        back = materialize(totals(encoded, ["kept", "deleted"], hashes, n_batches, _message), "lm-counts")
+        back = materialize(totals(encoded, ["kept", "deleted"], hashes, n_batches, _message), "lm-counts", **plain)
         n, vocabulary = n_kept + n_deleted, int(back.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
         # at most BUCKETS_OF_CONTEXT x (bins of an estimate) ^ 2 rows; in practice some thousands
         hist = both(_histogram(n_kept), "ctx long, q2 long, q1 long, m long").groupBy("ctx", "q2", "q1").agg(F.sum("m").alias("m")).orderBy("ctx", "q2", "q1")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import threading
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stratalens.llm import _counts, _shared, jaccard
+from stratalens.llm import _counts, _shared, interpolation, jaccard
 from test_whole import components_of
 
 
@@ -87,6 +88,28 @@ def test_shuffles_dropped(spark):
     assert len(rows) == 1000 and held() <= before and spark.conf.get(setting) == was
 
 
+def test_direct_buffers(spark, tmp_path):
+    """Reading documents and batches holds no copy of what is read outside the heap."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.getrandbits(48):x}" for _ in range(40_000))) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/documents.parquet")
+    pool = next(p for p in spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")) if p.getName() == "direct")
+    most, done = [before := pool.getMemoryUsed()], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most.append(pool.getMemoryUsed())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert interpolation.lm_scores(_shared.read_documents(spark, str(tmp_path))).count() == 20
+    finally:
+        done.set()
+        watcher.join()
+    assert max(most) - before < 1_000_000
+
+
 def test_several_near_copy_groups(spark, monkeypatch):
     """Groups of different sizes, some of whose members are linked only through others, and a text that many rows hold."""
     monkeypatch.setattr(jaccard, "BATCH_TOKENS", 300)
